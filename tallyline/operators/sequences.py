@@ -26,7 +26,8 @@ class Roles:
 def numbered_schedule(schedule: DataFrame, r: Roles = Roles()) -> DataFrame:
     """One row per (group, period, event) with ``idx`` from 0, ``n_events``, ``b2b`` (the day after the previous event) and
     ``prev_b2b`` (that flag of the event before)."""
-    rows = schedule.select(r.group, r.period, r.event, F.to_date(r.day).alias(r.day)).distinct()
+    named = [F.col(c) for c in (r.group, r.period, r.event) if c != r.day]
+    rows = schedule.select(*named, F.to_date(r.day).alias(r.day)).distinct()
     w = Window.partitionBy(r.group, r.period).orderBy(r.day, r.event)
     gap = F.datediff(F.col(r.day), F.lag(r.day).over(w))
     rows = rows.select("*", (F.row_number().over(w) - 1).alias("idx"), F.coalesce(gap == 1, F.lit(False)).alias("b2b"),
@@ -115,7 +116,7 @@ def share_since_first(presence: DataFrame, schedule: DataFrame, r: Roles = Roles
     """(entity, group, period): share of the group's events, from the entity's first one on, that it took part in."""
     mine = presence.groupBy(r.entity, r.group, r.period).agg(
         F.min(F.to_date(r.day)).alias("first_day"), F.countDistinct(r.event).alias("n_in"))
-    sched = numbered_schedule(schedule, r).groupBy(r.group, r.period, F.to_date(r.day).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    sched = numbered_schedule(schedule, r).groupBy(r.group, r.period, F.col(r.day).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     n = mine.join(sched, [r.group, r.period]).where(F.col("_day") >= F.col("first_day")).groupBy(r.entity, r.group, r.period).agg(
         F.first("n_in").alias("n_in"), F.sum("_n").alias("n_group"))
     return n.withColumn("share", F.least(F.lit(1.0), F.col("n_in") / F.col("n_group")))
