@@ -117,12 +117,12 @@ def trailing_10_baseline(t: Tables):
 @query("missing_regulars", "2.5.9, 2.8.158", DAYS_SQL + """,
 g AS (SELECT u.user_id, s.grp, s.idx, s.d, days.v FROM (SELECT DISTINCT user_id, grp FROM days) u JOIN sched s USING (grp) LEFT JOIN days ON days.user_id = u.user_id AND days.d = s.d),
 t AS (SELECT *, count(v) OVER w AS app, sum(v) OVER w / nullif(count(v) OVER w, 0) AS tr FROM g WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-SELECT grp, strftime(d, '%Y-%m-%d') AS day, round(sum(tr), 4) AS miss_min, count(*) AS n_missing FROM t WHERE idx >= 10 AND app >= 4 AND tr >= 15 AND v IS NULL GROUP BY 1, 2
+SELECT grp, strftime(d, '%Y-%m-%d') AS day, round(sum(tr) + 1e-7, 4) AS miss_min, count(*) AS n_missing FROM t WHERE idx >= 10 AND app >= 4 AND tr >= 15 AND v IS NULL GROUP BY 1, 2
 """)
 def missing_regulars(t: Tables):
     days = presence(t)
     out = trends.missing_regulars(days, days.select("grp", "p", "d").distinct(), USER, minutes="v", min_app=4)
-    return out.select("grp", text_day("d").alias("day"), r("miss_min", 4).alias("miss_min"), "n_missing")
+    return out.select("grp", text_day("d").alias("day"), r(F.col("miss_min") + 1e-7, 4).alias("miss_min"), "n_missing")
 
 
 @query("forward_7_day_mean", "2.3.29", """
