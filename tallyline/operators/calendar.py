@@ -54,7 +54,7 @@ def weeks_from_periods(periods: DataFrame, day_one: str, *, regular_periods: int
     return _sized(with_kind(weeks, regular_periods))
 
 
-def periods_look_real(periods: DataFrame, *, final_period: int | None = None, min_days: int = 30) -> bool:
+def periods_look_real(periods: DataFrame, *, final_period: int | None = None, min_days: int = 100) -> bool:
     """False for a placeholder that lists too few scoring periods."""
     top, n = periods.agg(F.max("scoring_period"), F.count("scoring_period")).first()
     if not n:
@@ -99,7 +99,7 @@ def weekly_counts(events: DataFrame, weeks: DataFrame, *, group: str, day: str,
     return out.withColumn("per7", F.col("games") * 7.0 / F.col("n_days"))
 
 
-def week_flags(weekly: DataFrame, *, heavy: float = 4.0, light: float = 2.0) -> DataFrame:
+def week_flags(weekly: DataFrame, *, heavy: float = 3.75, light: float = 2.5) -> DataFrame:
     mean = weekly.groupBy("week").agg(F.avg("games").alias("week_mean"))
     return weekly.join(F.broadcast(mean), "week").withColumn("heavy", F.col("per7") >= heavy).withColumn("light", F.col("per7") <= light)   # one row per week
 

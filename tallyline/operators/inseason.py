@@ -117,7 +117,7 @@ def roster_rows(ros: DataFrame, members: DataFrame, *, entity: str = "player_id"
 
 
 def swap_values(rosters: DataFrame, proposals: DataFrame, *, entity: str, value: str, eligible: str, slots: list[tuple[str, int]], bench: int, weight: float,
-                tolerance: float = 0.02) -> DataFrame:
+                tolerance: float = 0.015) -> DataFrame:
     """Value of each group's roster before and after each proposed swap, all proposals at once.
 
     ``proposals``: (proposal, grp, gives array, gets array); ``rosters``: (grp, entity, value, eligible).

@@ -14,9 +14,9 @@ from tallyline.operators.merge import latest_per_key
 from tallyline.operators.ranking import asc, desc, top_k
 
 # Thresholds and advisory shares of the risk overlay.
-ROTATION_MPG, MIN_TEAM_GAMES, PARTIAL_SHARE = 18.0, 4, 0.5
+ROTATION_MPG, MIN_TEAM_GAMES, PARTIAL_SHARE = 15.0, 3, 0.5
 STATUS_HAIRCUT = {"OUT": 0.20, "DAY_TO_DAY": 0.03, "SUSPENDED": 0.10}
-STALE_NEWS_DAYS, NEWS_DAYS, MIN_REPORT_GAMES, MIN_OPENED = 30, 60, 3, 20.0
+STALE_NEWS_DAYS, NEWS_DAYS, MIN_REPORT_GAMES, MIN_OPENED = 45, 60, 3, 20.0
 
 
 def attach(board: DataFrame, overlay: DataFrame, *, entity: str = "player_id", defaults: dict | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def depth_flags(roster: DataFrame, opened: DataFrame, projected: DataFrame, *, e
     return roster.select(entity, group).dropDuplicates([entity]).join(projected.select(entity), entity, "left_semi").join(o, group).select(entity, text.alias("depth_flag"))
 
 
-def closing_stage_flags(closing: DataFrame, regular: DataFrame, *, entity: str = "player_id", order: tuple[str, ...] = ("game_date", "game_id"), last: int = 5, min_events: int = 5, uplift: float = 6.0) -> DataFrame:
+def closing_stage_flags(closing: DataFrame, regular: DataFrame, *, entity: str = "player_id", order: tuple[str, ...] = ("game_date", "game_id"), last: int = 5, min_events: int = 5, uplift: float = 4.0) -> DataFrame:
     """Members whose role in the last events of the closing stage was much bigger than before."""
     n = closing.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_events)
     late = top_k(closing, [entity], [desc(c) for c in order], last, "_k").groupBy(entity).agg(F.avg("min").alias("_late"), F.count(F.lit(1)).alias("_m"))
@@ -163,7 +163,7 @@ def short_absence_flags(board: DataFrame, profile: DataFrame, *, min_mpg: float
     return j.select(entity, F.lit("short-absences").alias("lm_label"), "iso_n", "rest_n", adv.alias("lm_gp_adv"), short_absence_text(F.col("iso_n"), F.col("rest_n"), F.col("gp"), F.col("n_events"), adv).alias("lm_flag"))
 
 
-def annotate_moves(moves: DataFrame, board: DataFrame, roster: DataFrame, *, relevant_rank: int = 200, mates: int = 3, entity: str = "player_id") -> DataFrame:
+def annotate_moves(moves: DataFrame, board: DataFrame, roster: DataFrame, *, relevant_rank: int = 180, mates: int = 3, entity: str = "player_id") -> DataFrame:
     """Rank and relevance of each move, with the best-ranked members of its destination (the mover left out)."""
     b = board.select(entity, "rank", "name", "position").dropDuplicates([entity])
     ranked = roster.select(entity, "team_abbr").dropDuplicates([entity]).join(b, entity)

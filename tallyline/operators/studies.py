@@ -63,7 +63,7 @@ def largest_misses(rows: DataFrame, *, period: str, entity: str, err: str, n: in
     return head.join(F.broadcast(total), period).withColumn("share", F.abs(err) / F.col("_total")).drop("_size", "_total")     # one row per period
 
 
-def miss_tags(rows: DataFrame, *, gp_gap: float = 15.0, mpg_gap: float = 5.0) -> DataFrame:
+def miss_tags(rows: DataFrame, *, gp_gap: float = 20.0, mpg_gap: float = 5.0) -> DataFrame:
     """Why a projection missed: games, minutes or rate, from the size of each part of the error."""
     d_gp, d_mpg = F.col("actual_gp") - F.col("proj_gp"), F.col("actual_mpg") - F.col("proj_mpg")
     games_part = d_gp * F.col("proj_fppg")
