@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyline.catalog.base import Tables
 from tallyline.functions.periods import season_label
+from tallyline.session import cut_lineage
 
 SCORING = {"PTS": 1.0, "REB": 1.0, "AST": 2.0, "STL": 4.0, "BLK": 4.0, "TO": -2.0, "FGM": 2.0, "FGA": -1.0, "FTM": 1.0, "FTA": -1.0, "3PM": 1.0}
 
@@ -49,4 +50,5 @@ def bio(t: Tables) -> DataFrame:
 
 
 def history_tables(t: Tables) -> dict[str, DataFrame]:
-    return {"game_logs": game_logs(t), "team_games": team_games(t), "players": players(t), "player_season_bio": bio(t)}
+    # the role tables are joins; a projection reads them many times
+    return {"game_logs": cut_lineage(game_logs(t)), "team_games": team_games(t), "players": players(t), "player_season_bio": bio(t)}

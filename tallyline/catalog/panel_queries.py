@@ -193,7 +193,7 @@ SELECT g.k, g.y, round(CASE WHEN n >= 5 AND sd > 1e-9 THEN greatest(-2.5, least(
 """)
 def cohort_weighted_z(t: Tables):
     g = t.lineitem.groupBy(F.col("l_partkey").alias("k"), F.year("l_shipdate").alias("y")).agg(F.sum("l_quantity").alias("w"), F.avg("l_extendedprice").alias("x"))
-    return matching.cohort_z(g, ["y"], "x", "w", min_weight=40.0, clip_at=2.5).select("k", "y", r("z", 4).alias("z"))
+    return matching.cohort_z(g, ["y"], {"z": "x"}, "w", min_weight=40.0, clip_at=2.5).select("k", "y", r("z", 4).alias("z"))
 
 
 @query("top1_top5_depth", "2.4.22", """

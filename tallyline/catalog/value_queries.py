@@ -371,7 +371,7 @@ def largest_misses(t: Tables):
 
 
 @query("need_scores", "2.4.79-85", """
-WITH cap AS (SELECT unnest(['PG', 'SG', 'SF', 'PF', 'C']) AS need_position, unnest([2.7, 2.7, 2.7, 2.7, 2.2]) AS need_capacity),
+WITH cap AS (SELECT unnest(['PG', 'SG', 'SF', 'PF', 'C']) AS need_position, unnest([2.7, 2.7, 2.7, 2.7, 2.2])::DOUBLE AS need_capacity),
 mine AS (SELECT ['PG', 'SG', 'SF', 'PF', 'C'][CAST(c_nationkey % 5 + 1 AS INTEGER)] AS p FROM customer WHERE c_acctbal > 9990)
 SELECT need_position, round(need_capacity, 4) AS need_capacity, count(p) AS need_filled, round(greatest(0, least(1, (need_capacity - count(p)) / need_capacity)), 6) AS need_score FROM cap LEFT JOIN mine ON p = need_position GROUP BY cap.need_position, cap.need_capacity
 """)

@@ -341,5 +341,5 @@ def fit_logit(df: DataFrame, xs: list[str], label: str, *, weight: str | None =
     sides = F.array(F.struct(F.lit(1.0).alias("label"), (F.col("_w") * F.col("_y")).alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("_w") * (1 - F.col("_y"))).alias("weight")))
     split = scaled.withColumn("_side", F.explode(sides)).select(*xs, "_side.label", "_side.weight").where(F.col("weight") > 0)
     data = VectorAssembler(inputCols=xs, outputCol="features").transform(split)
-    model = LogisticRegression(regParam=1.0 / (c * float(stats["w"])), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=200, tol=1e-9).fit(data)
+    model = LogisticRegression(regParam=1.0 / (c * float(stats["w"])), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=100, tol=1e-7).fit(data)
     return Logit(xs, means, scales, np.array(model.coefficients.toArray()), float(model.intercept), rate, n)

@@ -9,18 +9,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyline.operators.ranking import asc, top_k, with_row_number, with_running_sum
 
 
-def cohort_z(rows: DataFrame, cohort: list[str], value: str, weight: str, *, min_weight: float = 0.0, min_rows: int = 5, clip_at: float = 3.0, name: str = "z") -> DataFrame:
-    """Distance from the weighted cohort mean in weighted deviations, clipped; null for a cohort that is too small or flat.
+def cohort_z(rows: DataFrame, cohort: list[str], values: dict[str, str], weight: str, *, min_weight: float = 0.0, min_rows: int = 5, clip_at: float = 3.0) -> DataFrame:
+    """One score per entry of ``values`` (score name -> measure): distance from the weighted cohort mean in weighted deviations, clipped;
+    null for a cohort that is too small or flat.
 
-    Two small aggregates (mean, then squared distance from it) are joined back: one row per cohort, so no window and no hot task.
+    Weighted moments of all measures come from one aggregate with a row per cohort, which is joined back: no window, no hot task.
     """
-    member = rows.where((F.col(weight) >= min_weight) & F.col(value).isNotNull())
-    mean = member.groupBy(*cohort).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("_mu"), F.count(F.lit(1)).alias("_n"))
-    spread = member.join(mean, cohort).groupBy(*cohort).agg(
-        F.first("_mu").alias("_mu"), F.first("_n").alias("_n"), F.sqrt(F.sum(F.col(weight) * F.pow(F.col(value) - F.col("_mu"), F.lit(2.0))) / F.sum(weight)).alias("_sd"))
-    ok = (F.col("_n") >= min_rows) & (F.col("_sd") > 1e-9)
-    z = F.greatest(F.lit(-clip_at), F.least(F.lit(clip_at), (F.col(value) - F.col("_mu")) / F.col("_sd")))
-    return rows.join(spread, cohort, "left").withColumn(name, F.when(ok & F.col(value).isNotNull(), z)).drop("_mu", "_n", "_sd")
+    w = F.col(weight).cast("double")
+    aggs = []
+    for name, x in values.items():
+        known = (F.col(weight) >= min_weight) & F.col(x).isNotNull()
+        v = F.col(x).cast("double")
+        aggs += [F.count_if(known).alias("_n_" + name), F.sum(F.when(known, w)).alias("_w_" + name), F.sum(F.when(known, w * v)).alias("_s_" + name), F.sum(F.when(known, w * v * v)).alias("_q_" + name)]
+    out = rows.join(rows.groupBy(*cohort).agg(*aggs), cohort, "left")
+    scores = []
+    for name, x in values.items():
+        mu = F.col("_s_" + name) / F.col("_w_" + name)
+        sd = F.sqrt(F.greatest(F.col("_q_" + name) / F.col("_w_" + name) - mu * mu, F.lit(0.0)))
+        z = F.greatest(F.lit(-clip_at), F.least(F.lit(clip_at), (F.col(x) - mu) / sd))
+        scores.append(F.when((F.col("_n_" + name) >= min_rows) & (sd > 1e-9) & F.col(x).isNotNull(), z).alias(name))
+    return out.select(*rows.columns, *scores)
 
 
 def in_universe(*, veteran: str = "veteran", mpg: str = "mpg", n_groups: str = "n_groups", games: str = "n_events", min_mpg: float = 15.0, single_group: bool = True) -> Column:

@@ -102,8 +102,7 @@ def event_table(logs: DataFrame, team_games: DataFrame, scoring: Mapping[str, fl
         e = e.select("player_id", "event_season", "gp", "minutes", F.when(F.col("_of") > 0, F.col("gp") / F.col("_of")).alias("gp_share"), (F.col("minutes") / F.col("gp")).alias("mpg"),
                      (F.col("fp") * per).alias("fp36"), F.when(shots > 0, F.col("pts") / shots).alias("ts"), ((F.col("fga") + 0.44 * F.col("fta") + F.col("tov")) * per).alias("usg36"),
                      (F.col("ast") * per).alias("ast36"), (F.col("reb") * per).alias("reb36"), ((F.col("stl") + F.col("blk")) * per).alias("stk36"))
-        for z, rate in EVENT_RATES.items():
-            e = cohort_z(e, ["event_season"], rate, "minutes", min_weight=min_minutes, clip_at=clip_at, name=z)
+        e = cohort_z(e, ["event_season"], EVENT_RATES, "minutes", min_weight=min_minutes, clip_at=clip_at)
         e = e.select("player_id", "event_season", *[F.col(c).alias(f"{prefix}_{c}") for c in ("gp", "minutes", "mpg", "gp_share", "fp36", *EVENT_RATES)])
         out = e if out is None else out.join(e, ["player_id", "event_season"], "full")
     return out

@@ -16,7 +16,9 @@ from tallyline.operators import fit as fits
 from tallyline.operators.panel import ages_at, build_panel, period_lengths
 from tallyline.operators.ranking import exact_quantiles
 from tallyline.operators.views import History
+
 from tallyline.plans.rates import MINUTES, RATES, VOLATILITY, BaselineConfig, QuantityFit, fit_quantities, has_history, lag_frame, predict_quantities
+from tallyline.session import cut_lineage
 
 MU_CLIP, PHI_CLIP, DEFAULT_PHI, SD_FLOOR = (0.02, 0.985), (0.01, 0.6), 0.12, 1.0
 TOP_PLATEAU, MIN_PLATEAU, ROOKIE_RIDGE = 10, 5, 1e-3
@@ -174,12 +176,12 @@ class BaselineProjector:
         vol = fit_volatility(panel, scored, cfg)
         valid = (F.col("gp") >= cfg.vol_min_games) & F.col("fp_sd").isNotNull()
         panel = panel.withColumn("gpz", F.when(valid, F.col("gp")).otherwise(0).cast("double")).withColumn("z_gp", F.when(valid, F.col("fp_sd") / vol.sd(F.col("fppg")) * F.col("gp")).otherwise(0.0))
-        panel = panel.persist()                                                            # one row per entity and season, read by every fit
-        train = lag_frame(panel, panel, (*RATES, MINUTES, VOLATILITY), n)
+        panel = cut_lineage(panel)                                                         # one row per entity and season, read by every fit
+        train = cut_lineage(lag_frame(panel, panel, (*RATES, MINUTES, VOLATILITY), n))
         first = fit_quantities(panel, train, (MINUTES, VOLATILITY), cfg)
         minutes, volatility = first["mpg"], first["vol"]
         pred = predict_quantities(train, {"mpg": minutes}, n).select("player_id", "s", clip(F.col("mpg"), 0.0, cfg.mpg_max).alias("mpg_pred"))
-        train = train.join(pred, ["player_id", "s"]).persist()
+        train = cut_lineage(train.join(pred, ["player_id", "s"]))
         rates = fit_quantities(panel, train, RATES, cfg, mpg="mpg_pred")
         known = train.where(has_history(n))
 
@@ -198,7 +200,7 @@ class BaselineProjector:
         lengths = period_lengths(history["team_games"].withColumn("s", season_year_fast(F.col("season"))))
         games = cfg.season_games or round(lengths.orderBy(F.desc("s")).limit(3).agg(F.max("season_len")).first()[0])
         out = Fitted(cfg, self.scoring, history.target, float(games), panel, minutes, rates, volatility, vol, avail, phi, appearance, fit_rookies(panel, history["players"], cfg, minutes, rates), vol.q, shift)
-        back = self._components(out, history, train.where(has_history(n)))
+        back = cut_lineage(self._components(out, history, train.where(has_history(n))))
         out.shape = self._calibrated(out, back, scored)
         if cfg.season_intervals:
             out.tau = self._spread(back, panel)
@@ -211,7 +213,7 @@ class BaselineProjector:
         due = panel.select("player_id", F.explode(F.array(*[F.col("s") + k for k in range(1, cfg.active_seasons + 1)])).alias("s")).distinct().where(F.col("s") <= last)
         rows = due.join(panel.select("player_id", "s", F.lit(1.0).alias("_seen")), ["player_id", "s"], "left").na.fill({"_seen": 0.0})
         rows = ages_at(rows, history["players"], history["player_season_bio"]).withColumn("pos_group", F.lit("U"))
-        frame = lag_frame(rows, panel, (*RATES, MINUTES, VOLATILITY), n)
+        frame = cut_lineage(lag_frame(rows, panel, (*RATES, MINUTES, VOLATILITY), n))
         pred = predict_quantities(frame, {"mpg": minutes}, n).select("player_id", "s", clip(F.col("mpg"), 0.0, cfg.mpg_max).alias("_mpg"))
         frame = frame.join(pred, ["player_id", "s"])
         cols = availability_columns(cfg.availability_decay, n, F.col("_mpg")) | appearance_columns(n)

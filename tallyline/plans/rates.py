@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyline.functions.scoring import shrink
 from tallyline.operators.fit import KAPPA_HIGH, KAPPA_LOW, KAPPA_POINTS, AgeCurve, gram, kappa_losses, log_grid
-from tallyline.operators.panel import attach_lags, consecutive_pairs
+from tallyline.operators.panel import attach_lags
 from tallyline.operators.ranking import asc, with_running_sum
+from tallyline.session import cut_lineage, spread
 
 
 @dataclass(frozen=True)
@@ -165,19 +166,21 @@ def fit_curves(panel: DataFrame, quantities: tuple[Quantity, ...], cfg: Baseline
     out = {q.name: AgeCurve() for q in quantities}
     if not aged:
         return out
-    pairs = None
-    for q in aged:
-        p = consecutive_pairs(panel, q.num, q.den).select(F.lit(q.name).alias("q"), "age", "delta", "weight")
-        pairs = p if pairs is None else pairs.unionByName(p)
-    pairs = pairs.where(F.col("delta").isNotNull() & (F.col("weight") > 0))
+    items = F.array(*[F.struct(F.lit(q.name).alias("q"), F.col(q.num).cast("double").alias("num"), F.col(q.den).cast("double").alias("den")) for q in aged])
+    base = panel.select("player_id", "s", "age", F.explode(items).alias("_x")).select("player_id", "s", "age", "_x.q", (F.col("_x.num") / F.col("_x.den")).alias("rate"), F.col("_x.den").alias("den")).where(F.col("den") > 0)
+    later = base.select("player_id", "q", (F.col("s") - 1).alias("s"), F.col("rate").alias("rate_next"), F.col("den").alias("den_next"))
+    pairs = base.where(F.col("age").isNotNull()).join(later, ["player_id", "q", "s"]).select(
+        "q", "age", (F.col("rate_next") - F.col("rate")).alias("delta"), (F.col("den") * F.col("den_next") / (F.col("den") + F.col("den_next"))).alias("weight"))
+    # everything the fit needs is a sum per (quantity, age)
+    per_age = cut_lineage(pairs.where(F.col("delta").isNotNull() & (F.col("weight") > 0)).groupBy("q", "age").agg(
+        F.sum("weight").alias("w"), (F.sum(F.col("weight") * F.col("delta")) / F.sum("weight")).alias("delta"), F.count(F.lit(1)).alias("n")))
     powers = [f"p{i}" for i in range(1, cfg.age_degree + 1)]
-    x = pairs.select("q", "delta", "weight", *[F.pow(F.col("age") - 27.0, F.lit(float(i))).alias(c) for i, c in enumerate(powers, 1)])
-    grams = gram(x, powers, "delta", "weight", by="q")
-    sizes = {r["q"]: (r["n"], r["k"]) for r in pairs.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.round("age")).alias("k")).collect()}
-    per_age = pairs.groupBy("q", "age").agg(F.sum("weight").alias("w"))
+    x = per_age.select("q", "delta", "w", *[F.pow(F.col("age") - 27.0, F.lit(float(i))).alias(c) for i, c in enumerate(powers, 1)])
+    grams = gram(x, powers, "delta", "w", by="q")
     run = with_running_sum(per_age, ["q"], [asc("age")], F.col("w"), "cum").join(per_age.groupBy("q").agg(F.sum("w").alias("all")), "q")
-    span = {r["q"]: (r["lo"], r["hi"]) for r in run.groupBy("q").agg(
-        F.min(F.when(F.col("cum") >= 0.025 * F.col("all"), F.col("age"))).alias("lo"), F.min(F.when(F.col("cum") >= 0.975 * F.col("all"), F.col("age"))).alias("hi")).collect()}
+    rows = run.groupBy("q").agg(F.sum("n").alias("n"), F.countDistinct(F.round("age")).alias("k"), F.min(F.when(F.col("cum") >= 0.025 * F.col("all"), F.col("age"))).alias("lo"),
+                                F.min(F.when(F.col("cum") >= 0.975 * F.col("all"), F.col("age"))).alias("hi")).collect()                   # one row per quantity
+    sizes, span = {r["q"]: (r["n"], r["k"]) for r in rows}, {r["q"]: (r["lo"], r["hi"]) for r in rows}
     for q in aged:
         n, k = sizes.get(q.name, (0, 0))
         if n >= cfg.age_min_pairs and k >= cfg.age_degree + 2:
@@ -202,7 +205,7 @@ def fit_quantities(panel: DataFrame, train: DataFrame, quantities: tuple[Quantit
         betas |= {q.name: (float(sums[q.name]),) for q in constant}
     fits = {q.name: QuantityFit(q, cfg.default_decay, cfg.default_kappa[q.name], curves[q.name], betas.get(q.name, (0.0, 0.0, 0.0, 0.0))) for q in quantities}
 
-    rows = train.where(has_history(cfg.n_lags))
+    rows = spread(train.where(has_history(cfg.n_lags)))
     if rows.count() < cfg.min_fit_rows:
         return fits
     long = stacked(rows, quantities, cfg.n_lags, ["mpg"] + ([mpg] if mpg else [])).where(F.col("den") > 0).join(params_table(panel.sparkSession, fits), "q")
