@@ -107,7 +107,13 @@ def parse_days(text: Column) -> Column:
 
 
 def first_day_in_text(text: Column, page_year: Column) -> Column:
-    """First 'Month D, YYYY' or 'D Month YYYY' in free text as a struct (day, source).
+    """``day_in_text`` as a struct (day, source)."""
+    day, source = day_in_text(text, page_year)
+    return F.struct(day.alias("day"), source.alias("source"))
+
+
+def day_in_text(text: Column, page_year: Column) -> tuple[Column, Column]:
+    """First 'Month D, YYYY' or 'D Month YYYY' in free text, and where its year came from.
 
     A day without a year takes the page's start year from June on and the next year before June.
     """
@@ -129,5 +135,4 @@ def first_day_in_text(text: Column, page_year: Column) -> Column:
     a_day, a_source, a_at = read(day_first, 2, 1)
     b_day, b_source, b_at = read(month_first, 1, 2)
     use_a = a_day.isNotNull() & (b_day.isNull() | (a_at <= b_at))
-    return F.struct(F.when(use_a, a_day).otherwise(b_day).alias("day"),
-                    F.when(use_a, a_source).when(b_day.isNotNull(), b_source).otherwise(F.lit("none")).alias("source"))
+    return F.when(use_a, a_day).otherwise(b_day), F.when(use_a, a_source).when(b_day.isNotNull(), b_source).otherwise(F.lit("none"))
