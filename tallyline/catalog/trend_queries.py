@@ -212,7 +212,7 @@ def weekly_tumbling(t: Tables):
 
 
 @query("session_runs", "2.10.10", """
-WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) sid FROM e)
 SELECT user_id, n_sessions, longest FROM (SELECT user_id, count(*) n_sessions, max(n) longest FROM (SELECT user_id, sid, count(*) n FROM s GROUP BY 1, 2) GROUP BY 1)
 """)

@@ -29,7 +29,7 @@ def session_stream(stream: DataFrame, ts: str, keys: list[str], gap: str, *, wat
 
 
 def sessions(rows: DataFrame, ts: str, keys: list[str], gap: str, *, watermark: str | None = None) -> DataFrame:
-    """(keys, start, end, n): sessions closed by a pause of at least ``gap``.
+    """(keys, start, end, n): sessions closed by a pause longer than ``gap``, as the native session window does.
 
     Batch form. Events are first summed per (key, piece of half a gap): two events of one piece always share a session. So a
     window holds at most twice (time span / gap) rows of a key, however many events the key has.
@@ -41,7 +41,7 @@ def sessions(rows: DataFrame, ts: str, keys: list[str], gap: str, *, watermark:
     piece = F.floor(t / (seconds * 500_000))
     parts = rows.groupBy(*keys, piece.alias("_piece")).agg(F.min(t).alias("_a"), F.max(t).alias("_b"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_piece")
-    fresh = F.coalesce((F.col("_a") - F.lag("_b").over(w)) >= seconds * 1_000_000, F.lit(True))
+    fresh = F.coalesce((F.col("_a") - F.lag("_b").over(w)) > seconds * 1_000_000, F.lit(True))
     numbered = parts.withColumn("_new", fresh.cast("int")).withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = numbered.groupBy(*keys, "_sid").agg(F.min("_a").alias("_s"), F.max("_b").alias("_e"), F.sum("_n").alias("n"))
     return out.select(*keys, F.timestamp_micros("_s").alias("start"), F.timestamp_micros((F.col("_e") + seconds * 1_000_000).cast("long")).alias("end"), "n")
