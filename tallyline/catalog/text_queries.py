@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ def shrink_weight_grid(t: Tables):
 SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d') AS first_seen, strftime(max(ts), '%Y-%m-%d') AS last_seen, count(*) AS n_seen FROM events GROUP BY 1, 2
 """)
 def stream_ledger(t: Tables):
-    base = ensure_checkpoint_dir(t.spark) + f"/stream_ledger_{abs(hash((t.folder, id(t))))}"
+    base = ensure_checkpoint_dir(t.spark) + f"/stream_ledger_{uuid.uuid4().hex}"
     stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     key = ["user_id", "event_type"]
     ledger.start_ledger(stream.select(*key, "ts"), base + "/rows", base + "/position", key, ledger.sightings(key, "ts", []), buckets=8).awaitTermination()
@@ -210,7 +211,7 @@ def stream_ledger(t: Tables):
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1, 2
 """)
 def stream_windows(t: Tables):
-    base = ensure_checkpoint_dir(t.spark) + f"/stream_windows_{abs(hash((t.folder, id(t))))}"
+    base = ensure_checkpoint_dir(t.spark) + f"/stream_windows_{uuid.uuid4().hex}"
     stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     counts = windows.tumbling_counts(stream, "ts", ["event_type"], "1 day", value="value")
 

@@ -108,7 +108,7 @@ def best_available(t: Tables):
 
 @query("value_at_rank", "2.5.13, 2.6.9, 2.8.81, 2.4.96", """
 WITH p AS (SELECT year(o_orderdate) y, o_custkey c, sum(round(o_totalprice, 2)) v FROM orders GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY v DESC, c) rk FROM p)
-SELECT y, round(max(CASE WHEN rk = 151 THEN v END) * 0.75 + max(CASE WHEN rk = 152 THEN v END) * 0.25, 4) AS level FROM k GROUP BY 1
+SELECT y, round(coalesce(max(CASE WHEN rk = 151 THEN v END) * 0.75 + max(CASE WHEN rk = 152 THEN v END) * 0.25, arg_max(v, rk)), 4) AS level FROM k WHERE rk <= 152 GROUP BY 1
 """)
 def value_at_rank(t: Tables):
     p = t.order_events.groupBy("y", "cust").agg(F.sum(F.round("price", 2)).alias("v"))
@@ -381,3 +381,37 @@ def need_scores(t: Tables):
     board = t.customer.select(F.col("c_custkey").alias("player_id"), F.element_at(names, (F.col("c_nationkey") % 5 + 1).cast("int")).alias("position"), "c_acctbal")
     out = value.position_need(board, board.where(F.col("c_acctbal") > 9990), value.position_capacity(config))
     return out.select("need_position", r("need_capacity", 4).alias("need_capacity"), "need_filled", r("need_score").alias("need_score"))
+
+
+@query("late_window_shares", "2.4.58-60", """
+WITH g AS (SELECT DISTINCT user_id u, user_id % 10 AS t, CAST(ts AS DATE) d FROM events),
+a AS (SELECT t, count(DISTINCT d) FILTER (WHERE d < DATE '2024-01-21') te, count(DISTINCT d) FILTER (WHERE d >= DATE '2024-01-21') tl FROM g GROUP BY 1),
+o AS (SELECT u, t, count(*) FILTER (WHERE d < DATE '2024-01-21') e, count(*) FILTER (WHERE d >= DATE '2024-01-21') l FROM g GROUP BY 1, 2)
+SELECT u, t AS grp, round(e / te, 6) AS early_share, round(l / tl, 6) AS late_share, round(l / tl - e / te, 6) AS gap FROM o JOIN a USING (t)
+""")
+def late_window_shares(t: Tables):
+    days = t.user_days.select(F.col("user_id").alias("u"), (F.col("user_id") % 10).alias("grp"), F.lit(1).alias("p"), "d")
+    late = F.col("d") >= F.lit("2024-01-21").cast("date")
+    out = studies.two_window_shares(days, days, entity="u", group="grp", period="p", in_late=late, event="d")
+    return out.select("u", "grp", *[r(c).alias(c) for c in ("early_share", "late_share", "gap")])
+
+
+@query("newcomer_classes", "2.3.20, 2.3.21, 2.8.37-39", """
+WITH f AS (SELECT o_custkey c, min(year(o_orderdate)) y FROM orders GROUP BY 1), k AS (SELECT DISTINCT o_custkey c FROM orders WHERE year(o_orderdate) < 1997)
+SELECT CASE WHEN y = 1997 THEN 'rookie' WHEN y < 1997 THEN 'stash' ELSE 'undrafted' END AS newcomer_class, count(*) AS n FROM f WHERE c NOT IN (SELECT c FROM k) GROUP BY 1
+""")
+def newcomer_classes(t: Tables):
+    ev = t.order_events
+    listed = ev.groupBy(F.col("cust").alias("player_id")).agg(F.min("y").alias("first")).select("player_id", F.when(F.col("first") <= 1997, F.col("first")).alias("draft_year"))
+    known = ev.where(F.col("y") < 1997).select(F.col("cust").alias("player_id"))
+    return studies.newcomer_candidates(listed, known, season=1997).groupBy("newcomer_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pair_win_share", "2.4.60-61", """
+WITH p AS (SELECT l_orderkey, sum(l_extendedprice) s FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2)
+SELECT l_suppkey AS k, count(*) AS n, round(avg(CASE WHEN l_extendedprice > p.s - l_extendedprice THEN 1.0 ELSE 0 END), 6) AS win_pct FROM lineitem JOIN p USING (l_orderkey) GROUP BY 1
+""")
+def pair_win_share(t: Tables):
+    pairs = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("s")).where(F.col("n") == 2).drop("n")
+    rows = t.lineitem.join(pairs, "l_orderkey").select(F.col("l_suppkey").alias("k"), F.col("l_extendedprice").alias("own"), (F.col("s") - F.col("l_extendedprice")).alias("other"))
+    return studies.win_share(rows, ["k"], "own", "other").withColumn("win_pct", r("win_pct"))

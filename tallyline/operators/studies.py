@@ -150,3 +150,33 @@ def never_occurred_share(listed: DataFrame, occurred: DataFrame, *, entity: str,
 def decide(low: Column, wins: Column, n: Column, *, min_share: float = 0.6) -> Column:
     """'adopt' when the interval is above zero and enough periods are won, 'reject' otherwise."""
     return F.when((low > 0) & (wins >= F.lit(min_share) * n), "adopt").otherwise("reject")
+
+
+def two_window_shares(events: DataFrame, schedule: DataFrame, *, entity: str, group: str, period: str, in_late: Column, event: str) -> DataFrame:
+    """(entity, group, period, early_share, late_share, gap): share of the group's events an entity took part in, early and late.
+
+    ``in_late`` is a predicate on the day columns that both tables carry; counts are combined on the map side.
+    """
+    own = events.groupBy(entity, group, period).agg(F.countDistinct(F.when(~in_late, F.col(event))).alias("_e"), F.countDistinct(F.when(in_late, F.col(event))).alias("_l"))
+    all_ = schedule.groupBy(group, period).agg(F.countDistinct(F.when(~in_late, F.col(event))).alias("_te"), F.countDistinct(F.when(in_late, F.col(event))).alias("_tl"))
+    j = own.join(all_, [group, period])
+    early, late = F.try_divide(F.col("_e"), F.col("_te")), F.try_divide(F.col("_l"), F.col("_tl"))
+    return j.select(entity, group, period, early.alias("early_share"), late.alias("late_share"), (late - early).alias("gap"))
+
+
+def win_share(rows: DataFrame, group: list[str], own: str, other: str) -> DataFrame:
+    """(group, n, win_pct) over rows where both scores are known."""
+    ok = rows.where(F.col(own).isNotNull() & F.col(other).isNotNull())
+    return ok.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(own) > F.col(other)).cast("double")).alias("win_pct"))
+
+
+def newcomer_candidates(listed: DataFrame, known: DataFrame, *, entity: str = "player_id", season: int) -> DataFrame:
+    """Entities never seen before, with their class: this year's draft, an earlier draft ('stash') or undrafted."""
+    new = listed.join(known.select(entity).distinct(), entity, "left_anti").dropDuplicates([entity])
+    cls = F.when(F.col("draft_year") == season, "rookie").when(F.col("draft_year") < season, "stash").otherwise("undrafted")
+    return new.withColumn("newcomer_class", cls)
+
+
+def breakout_label(actual: Column, base: Column, *, min_gain: float = 5.0, min_ratio: float = 0.15) -> Column:
+    """An uplift that is large both absolutely and against the base."""
+    return (actual - base >= min_gain) & (actual >= base * (1 + min_ratio))

@@ -11,7 +11,7 @@ from tallyline.functions.positions import position_group
 from tallyline.functions.rules import INJURY_KINDS, OTHER_KINDS, REST_KINDS, classify_reason
 from tallyline.functions.scoring import recency_weighted
 from tallyline.operators import rosters
-from tallyline.operators.fit import linear, wls
+from tallyline.operators.fit import wls
 from tallyline.operators.panel import ages_at, attach_lags, lags, period_lengths, veteran_flag
 from tallyline.operators.sequences import Roles, absence_profile, primary_group, run_stats
 from tallyline.operators.views import History, assert_no_future, before_period
