@@ -162,6 +162,8 @@ class BaselineProjector:
     # ------------------------------------------------------------------ fit
 
     def _with(self, features: list[Feature], history: History, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        if features:
+            rows = rows.drop(*[c for c in rows.columns if c.startswith(EXTRA)])       # a layer may serve both minutes and availability
         before = set(rows.columns)
         for f in features:
             rows = f(history, rows)
