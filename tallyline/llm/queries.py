@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import byte_bpe, exact_dedup, id_files, minhash, mixing, ngram_join, token_lengths
+from tallyline.llm import byte_bpe, exact_dedup, fixity, id_files, main_text, minhash, mixing, ngram_join, token_lengths
 from tallyline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,17 @@ def _register(name: str, table: str, apply: Callable[[DataFrame], DataFrame], sq
 
 _register("op2_token_counts", "documents", lambda docs: token_lengths.limits(token_lengths.histogram(token_lengths.lengths(docs))))
 _register("op3_byte_bpe", "documents", byte_bpe.encoded_digests)
+
+_register("op4_fixity", "pages", fixity.audit_pages, r"""
+WITH r AS (SELECT page_id, octet_length(encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, '')))::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+    || chr(13) || chr(10) || chr(13) || chr(10))) AS n_bytes, coalesce(length(html), 0) > 0 AND html[1] <> '#' AS hit FROM pages),
+l AS (SELECT page_id, page_id >> 10 AS file, sum(n_bytes)::BIGINT AS n_bytes, bool_or(hit) AS hit FROM r GROUP BY page_id),
+o AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS file_offset FROM l)
+SELECT page_id AS record_id, file, file_offset, n_bytes, CASE WHEN page_id % 509 = 7 THEN 'missing' WHEN page_id % 997 = 11 THEN 'extra' ELSE 'altered' END AS problem
+FROM o WHERE page_id % 509 = 7 OR page_id % 997 = 11 OR page_id % 211 = 5 AND hit
+""")
+
 _register("op5_fingerprints", "documents", minhash.fingerprints)
 _register("op6_id_files", "documents", lambda docs: id_files.read_documents(id_files.write_images(docs)))
 
@@ -31,6 +42,8 @@ g AS (SELECT doc_id, n, content, row_number() OVER same AS place, first_value(do
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(content) AS text_sha256 FROM g
 """)
 
+_register("op8_main_text", "pages", main_text.extracted)
+
 _register("op9_mixing", "documents", mixing.mix, r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(text) AS n FROM documents),
 k AS (SELECT doc_id, source, size::BIGINT AS size,
