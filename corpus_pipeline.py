@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import byte_bpe, exact_dedup, mixing, ngram_join
+from tallyline.llm import byte_bpe, exact_dedup, mixing, ngram_join, toxicity
 from tallyline.llm.common import read_table
 from tallyline.session import ensure_checkpoint_dir
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the model, learned from ``labels``, doesn't reject."""
+    return toxicity.clean_rows(docs, read_table(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     return exact_dedup.unique_rows(docs)
@@ -31,7 +36,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded_digests(docs)
 
 
-STAGES = [("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing", mixture), ("byte-level BPE", encoding)]
+STAGES = [("toxicity", not_toxic), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing", mixture), ("byte-level BPE", encoding)]
 
 #: Learned scores and BPE have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

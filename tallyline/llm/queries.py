@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import byte_bpe, exact_dedup, fixity, id_files, main_text, minhash, mixing, ngram_join, token_lengths
+from tallyline.llm import byte_bpe, exact_dedup, fixity, id_files, main_text, minhash, mixing, ngram_join, token_lengths, toxicity
 from tallyline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,7 @@ def _register(name: str, table: str, apply: Callable[[DataFrame], DataFrame], sq
         SQL[name] = sql.strip()
 
 
+QUERIES["op1_toxicity"] = lambda spark, sf_dir: toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 _register("op2_token_counts", "documents", lambda docs: token_lengths.limits(token_lengths.histogram(token_lengths.lengths(docs))))
 _register("op3_byte_bpe", "documents", byte_bpe.encoded_digests)
 
