@@ -22,7 +22,7 @@ from tallyline.llm.common import free_name, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4_096
 SEED = "mix-1"
 
 
