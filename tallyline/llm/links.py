@@ -1,6 +1,6 @@
 """Connected components of verified links, without listing all pairs of a group.
 
-Members of an inverted list (rows key, node, n) are candidates for each other. A round picks a few members of each list as pivots, tests
+Members of an inverted list (rows key, node, n, and parity marks of the node's set) are candidates for each other. A round picks a few members of each list as pivots, tests
 every other member against them, and joins what is linked; lists whose members are all of one component are done. What is left after
 the rounds, members of different components in one list, is tested pair by pair, with the members of a list's largest component on one
 side only. No link between different components is lost, and a list of g copies costs about g tests, not g * g.
@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyline.llm.common import materialise
 
 PIVOTS = 3
 ROUNDS = 8
 #: Pairs left, for each row of the lists, at which the rest is tested pair by pair.
-EASY = 8
+EASY = 400
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -53,13 +53,23 @@ def _cross(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return placed.join(several.select("key", F.col("top.component").alias("giant"), F.col("top.c").alias("of_giant"), "size"), "key")
 
 
-def near(small: str, large: str) -> F.Column:
-    """Sizes that a likeness of 0.8 allows."""
-    return (5 * F.least(small, large)) >= (4 * F.greatest(small, large))
+MARKS = ["m0", "m1", "m2", "m3"]
+
+
+def near(a: str, b: str) -> Column:
+    """Sizes that a likeness of 0.8 allows, and parity marks that do: sets differ in one element at least for every bit in which their
+    marks differ, and linked sets of n and m differ in n + m - 2 * needed elements at most."""
+    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+    bits = sum((F.bit_count(F.col(f"{x}_{a}").bitwiseXOR(F.col(f"{x}_{b}"))) for x in MARKS), F.lit(0))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (bits <= n + m - 2 * F.floor((4 * (n + m) + 8) / 9))
+
+
+def _side(name: str, of: str = "") -> list[Column]:
+    return [F.col(of + x).alias(f"{x}_{name}") for x in ("n", *MARKS)]
 
 
 def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """node, component over ``lists`` (key, node, n), a written table; ``verified`` gives the links (a, b) among candidates (a, b).
+    """node, component over ``lists`` (key, node, n, marks), a written table; ``verified`` gives the links (a, b) among candidates (a, b).
     None if there is no list."""
     found, labels = None, None
     for turn in range(ROUNDS + 1):
@@ -67,24 +77,24 @@ def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> Data
         rows, left = rest.agg(F.count(F.lit(1)), F.sum(F.when(F.col("component") != F.col("giant"), F.col("size")).otherwise(F.lit(0)))).first()
         if not rows:
             return labels
-        member = rest.select("key", "node", "n", "component", "giant")
+        member = rest.select("key", "node", "n", *MARKS, "component", "giant")
         finish = left <= EASY * rows or turn == ROUNDS
         if finish:
-            a = member.filter("component <> giant").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-            b = member.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"), F.col("giant").alias("g"))
-            met = a.join(b, (a.key == b.key) & (F.col("of_a") != F.col("of_b")) & near("n_a", "n_b") & ((F.col("of_b") == F.col("g")) | (F.col("a") < F.col("b"))))
+            a = member.filter("component <> giant").select("key", F.col("node").alias("a"), *_side("a"), F.col("component").alias("of_a"))
+            b = member.select("key", F.col("node").alias("b"), *_side("b"), F.col("component").alias("of_b"), F.col("giant").alias("g"))
+            met = a.join(b, (a.key == b.key) & (F.col("of_a") != F.col("of_b")) & near("a", "b") & ((F.col("of_b") == F.col("g")) | (F.col("a") < F.col("b"))))
         else:
             free = member if turn == 0 else member.filter("component <> giant")
-            picks = free.groupBy("key").agg(*[F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(PIVOTS * turn + i))).alias(f"p{i}") for i in range(PIVOTS)])
+            picks = free.groupBy("key").agg(*[F.min_by(F.struct("node", "n", *MARKS, "component"), F.xxhash64("node", F.lit(PIVOTS * turn + i))).alias(f"p{i}") for i in range(PIVOTS)])
             pivot = picks.select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p")).select(
-                "key", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("p.component").alias("of_a"))
-            b = member.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-            met = b.join(pivot, (b.key == pivot.key) & (F.col("of_a") != F.col("of_b")) & near("n_a", "n_b"))
+                "key", F.col("p.node").alias("a"), *_side("a", "p."), F.col("p.component").alias("of_a"))
+            b = member.select("key", F.col("node").alias("b"), *_side("b"), F.col("component").alias("of_b"))
+            met = b.join(pivot, (b.key == pivot.key) & (F.col("of_a") != F.col("of_b")) & near("a", "b"))
         pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         links = verified(pairs)
         found = links if found is None else found.unionByName(links)
         labels = components(found)
         if finish:
             return labels
-        lists = rest.select("key", "node", "n")
+        lists = rest.select("key", "node", "n", *MARKS)
     return labels

@@ -11,8 +11,9 @@ A document's set holds its distinct shingles of five words. Two sets link when 1
   sizes and list lengths over all documents. It changes the work, not the result.
 * Lists are scanned by ``links.linked``: candidates are tested by what they share in their heads, then by their whole sets.
 
-Frequent shingles are found in blocks of shingles: one that makes up a 2**-20 part of all shingles is seen twice in some block, so
-what is broadcast has at most 2**20 entries at any size of the input. Lists of frequent shingles are scanned in salted parts.
+Shingles are counted over all sets, in the part of each set that heads are taken from. Those that ``FREQUENT_LEAST`` sets or more have are
+frequent; if they are more than 2**20, only the most frequent of them, which bounds what is broadcast at any size of the input and changes
+the order, not the result. Lists of frequent shingles are scanned in salted parts.
 
 Shingles are compared by 64-bit hashes. Cases: a null text counts as empty; an empty set links with nothing, equal ones neither; rows
 that repeat a doc_id are nodes of their own if their texts differ, and a null doc_id is no component's smallest id unless it is the
@@ -32,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tallyline.llm.common import materialise, semi_join
-from tallyline.llm.links import linked
+from tallyline.llm.links import MARKS, linked
 from tallyline.llm.words import U64, mix, text_sets
 
 SHINGLE = 5
-FREQUENT_SHARE = 1 << 20
+FREQUENT_MOST = 1 << 20
 FREQUENT_LEAST = 16
 BLOCK = 1 << 21
 LARGEST_SMALL = 20
@@ -70,42 +71,54 @@ def boundary_by_cost(sizes: dict[int, int], entries_met: float) -> int:
     return min(range(3, LARGEST_SMALL + 1), key=cost)
 
 
+def _counted(n: int) -> int:
+    """Of a set's n shingles, in order of hash, those that are counted: the head and half as many again, all of a small set."""
+    return n if n <= LARGEST_SMALL else min(n, head_size(n) * 3 // 2)
+
+
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, n): 0, shingles seen twice or more in a block; 1, sets of a small size; 2, all shingles."""
+    """Rows (kind, key, n): 0, shingles of a block and the sets that count them; 1, sets of a small size."""
     held: list[np.ndarray] = []
-    size, total = 0, 0
+    size = 0
     sizes = np.zeros(LARGEST_SMALL + 1, np.int64)
 
     def block() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        many = counts > 1
-        return pa.record_batch([pa.array(np.zeros(many.sum(), np.int64)), pa.array(values[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["kind", "key", "n"])
+        return pa.record_batch([pa.array(np.zeros(len(values), np.int64)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "key", "n"])
 
     for batch in batches:
         for _, found in text_sets(batch.column(0), SHINGLE):
-            total += len(found)
             if len(found) <= LARGEST_SMALL:
                 sizes[len(found)] += 1
-            held.append(found)
-            size += len(found)
+            held.append(found[: _counted(len(found))].copy())
+            size += len(held[-1])
             if size >= BLOCK:
                 yield block()
                 held, size = [], 0
     if held:
         yield block()
-    yield pa.record_batch([pa.array([1] * len(sizes) + [2], pa.int64()), pa.array([*range(len(sizes)), 0], pa.int64()), pa.array([*sizes.tolist(), total], pa.int64())], ["kind", "key", "n"])
+    yield pa.record_batch([pa.array([1] * len(sizes), pa.int64()), pa.array(range(len(sizes)), pa.int64()), pa.array(sizes)], ["kind", "key", "n"])
 
 
 def census(texts: DataFrame, least: int = FREQUENT_LEAST) -> tuple[np.ndarray, np.ndarray, int]:
     """Frequent shingles in ascending order, their counts, and the boundary between small and large sets."""
-    counted = materialise(texts.mapInArrow(_census, "kind bigint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "census")
+    counts = texts.mapInArrow(_census, "kind bigint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = materialise(counts.filter((F.col("kind") == 1) | (F.col("n") > 1)), "census")
     sizes = {int(r["key"]): int(r["n"]) for r in counted.filter("kind = 1").collect()}       # LARGEST_SMALL + 1 rows
-    total, met = counted.agg(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.sum(F.when(F.col("kind") == 0, F.col("n").cast("double") * F.col("n")))).first()
-    floor = max(least, (total or 0) / FREQUENT_SHARE)
-    rows = counted.filter((F.col("kind") == 0) & (F.col("n") >= floor)).select("key", "n").toArrow()   # FREQUENT_SHARE rows at most
+    shingles = counted.filter("kind = 0")
+    entries, met = shingles.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
+    level = F.floor(F.log2("n") * 4)
+    levels = sorted(shingles.filter(F.col("n") >= least).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r["level"])   # 4 for each power of two
+    floor, together = None, 0
+    for r in levels:
+        together += r["k"]
+        if together > FREQUENT_MOST:
+            break
+        floor = r["n"]
+    rows = shingles.filter(F.col("n") >= (floor if floor is not None else (1 << 62))).select("key", "n").toArrow()   # FREQUENT_MOST rows at most
     keys, counts = rows["key"].to_numpy().astype(np.int64).view(U64), rows["n"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    return keys[order], counts[order], boundary_by_cost(sizes, (met or 0.0) / max(1, total or 0))
+    return keys[order], counts[order], boundary_by_cost(sizes, (met or 0.0) / max(1, entries or 0))
 
 
 class Keys:
@@ -151,6 +164,12 @@ class Keys:
         return np.concatenate([self.subsets(found), head]) if 5 * n // 4 > self.boundary else self.subsets(found)
 
 
+def parity_marks(found: np.ndarray) -> list[int]:
+    """256 bits: whether the set has an odd number of elements of each value of eight bits of the hash."""
+    odd = np.bincount((found >> U64(20) & U64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _set_id(found: np.ndarray) -> bytes:
     return blake2b(found.tobytes(), digest_size=16).digest()
 
@@ -160,27 +179,28 @@ def profiles(docs: DataFrame, keys) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, made = keys.value, TaskContext.get().partitionId() << 33
-        names = ["row", "doc_id", "n", "set_id", "head", "keys"]
+        names = ["row", "doc_id", "n", "set_id", "head", "keys", *MARKS]
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, ids, heads, found_keys = [], [], [], []
+                n, ids, heads, found_keys, marks = [], [], [], [], []
                 for _, found in text_sets(part.column(1), SHINGLE):
                     head = own.head(found) if len(found) else found
                     n.append(len(found))
                     ids.append(_set_id(found))
+                    marks.append(parity_marks(found))
                     heads.append(head.tobytes())
                     k = own.of(found, head) if len(found) else found
                     found_keys.append(None if k is head else k.tobytes())
-                yield pa.record_batch([pa.array(range(made, made + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(heads, pa.binary()), pa.array(found_keys, pa.binary())], names)
+                yield pa.record_batch([pa.array(range(made, made + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(heads, pa.binary()), pa.array(found_keys, pa.binary()), *(pa.array([m[i] for m in marks], pa.int64()) for i in range(len(MARKS)))], names)
                 made += len(n)
 
-    schema = "row bigint, doc_id bigint, n bigint, set_id binary, head binary, keys binary"
+    schema = "row bigint, doc_id bigint, n bigint, set_id binary, head binary, keys binary, " + ", ".join(f"{m} bigint" for m in MARKS)
     return materialise(docs.select("doc_id", "text").mapInArrow(rows, schema), "profiles", "zstd")
 
 
 def lists_of(nodes: DataFrame, keys) -> DataFrame:
-    """key, node, n of every list with two members or more, a written table. A list's rows come to one task in order of key and pass it
+    """key, node, n and marks of every list with two members or more, a written table. A list's rows come to one task in order of key and pass it
     in a stream; lists of frequent shingles come in parts, which are all kept."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +245,8 @@ def lists_of(nodes: DataFrame, keys) -> DataFrame:
 
     made = nodes.select("row", "n", "head", "keys").mapInArrow(lambda b: gathered(entries(b)), "key bigint, part bigint, node bigint, n bigint")
     dealt = made.withColumn("n", F.col("n").cast("int")).withColumn("part", F.col("part").cast("int")).repartition("key", "part").sortWithinPartitions("key", "part")
-    return materialise(dealt.mapInArrow(several, "key bigint, node bigint, n int"), "lists")
+    kept = dealt.mapInArrow(several, "key bigint, node bigint, n int")
+    return materialise(kept.join(nodes.select(F.col("row").alias("node"), *MARKS), "node"), "lists")
 
 
 def _pair_filter(bound) -> callable:
