@@ -1,13 +1,9 @@
-"""MinHash fingerprints of word shingles, and near-duplicate classes by signature bands.
+"""MinHash fingerprints of word shingles.
 
 A text's shingles are hashed to 32 bits; ``PERMUTATIONS`` universal hashes (a * x + b modulo 2**32, a odd, so each permutes the values)
 are applied to whole chunks of texts with numpy, and the least value of each, its upper 16 bits, is a component of the signature. The
 share of equal components estimates the Jaccard likeness of the shingle sets.
 
-Near duplicates: equal signatures' texts are one class member by exact set digest first; signatures are cut into bands, each band's
-members are linked to the least of their band, and the Jaccard likeness of the linked sets is verified. A class is what verified links
-connect. Links that only pass through other members of a band are found in later rounds with other least members.
-
 Cases: a null text counts as empty; empty texts and texts without words have the fingerprint of all ones and are like each other, and
 unlike any other text; a text with fewer than five words is one shingle. Equal doc_ids are ordered by text, a null doc_id comes first.
 An empty table gives an empty result; other columns are ignored.
