@@ -4,6 +4,11 @@ A text's shingles are hashed to 32 bits; ``PERMUTATIONS`` universal hashes (a *
 are applied to whole chunks of texts with numpy, and the least value of each, its upper 16 bits, is a component of the signature. The
 share of equal components estimates the Jaccard likeness of the shingle sets.
 
+Near duplicates: ``BANDS`` bands of ``BAND_ROWS`` components are keys. Documents that agree in a band are candidates, which are joined on
+the band's key and verified by the Jaccard likeness of their whole shingle sets. At a likeness of 0.8 a pair shares no band once in
+20,000 times, and less often above. Documents of equal sets are one node; ``links.linked`` walks a key's list by pivots, so a large
+group isn't listed as pairs.
+
 Cases: a null text counts as empty; empty texts and texts without words have the fingerprint of all ones and are like each other, and
 unlike any other text; a text with fewer than five words is one shingle. Equal doc_ids are ordered by text, a null doc_id comes first.
 An empty table gives an empty result; other columns are ignored.
@@ -19,13 +24,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyline.llm.common import materialise
-from tallyline.llm.words import chunks, shingle_hashes, text_buffers
+from tallyline.llm.common import materialise, semi_join
+from tallyline.llm.links import MARKS
+from tallyline.llm.ngram_join import grouped, parity_marks, set_id, verified_by_sets
+from tallyline.llm.words import U64, chunks, mix, shingle_hashes, text_buffers, text_sets
 
 PERMUTATIONS = 128
 SHINGLE = 5
 BLOCK = 1 << 14
 EMPTY = 0xFFFF
+BANDS, BAND_ROWS = 25, 5
 
 
 def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,3 +135,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     joined = lasts.join(nexts, "of").join(firsts, "part").select("doc_id", "held", "following").mapInArrow(ends, ROW)
     columns = ["doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next"]
     return done.filter("kind = 0").unionByName(joined).select(*columns)
+
+
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """One row of ``BANDS`` keys for each signature; a band's number is part of its key."""
+    out = np.empty((len(signature), BANDS), U64)
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            h = np.full(len(signature), U64(band + 1))
+            for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+                h = mix(h * U64(31) + signature[:, k].astype(U64))
+            out[:, band] = h
+    return out.view(np.int64)
+
+
+def banded(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n (shingles), set_id, parity marks and band keys of every row of ``docs`` (doc_id, text), a written table."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                facts = [(len(found), set_id(found), parity_marks(found)) for _, found in text_sets(part.column(1), SHINGLE)]
+                n, ids, marks = zip(*facts)
+                keys = pa.ListArray.from_arrays(pa.array(range(0, BANDS * (len(n) + 1), BANDS), pa.int32()), pa.array(band_keys(signatures(part.column(1))).ravel()))
+                yield pa.record_batch([pa.array(range(made, made + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), keys, *(pa.array([m[i] for m in marks], pa.int64()) for i in range(len(MARKS)))],
+                                      ["row", "doc_id", "n", "set_id", "keys", *MARKS])
+                made += len(n)
+
+    schema = "row bigint, doc_id bigint, n bigint, set_id binary, keys array<bigint>, " + ", ".join(f"{m} bigint" for m in MARKS)
+    return materialise(docs.select("doc_id", "text").mapInArrow(rows, schema), "banded", "zstd")
+
+
+def band_lists(nodes: DataFrame) -> DataFrame:
+    """key, node, n and marks of every band key that two nodes or more have, a written table."""
+    entries = nodes.select(F.explode("keys").alias("key"), F.col("row").alias("node"), F.col("n").cast("int").alias("n"), *MARKS)
+    met = materialise(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "bands-met")
+    return materialise(semi_join(entries, met, "key"), "bands")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id (the smallest doc_id reached by verified links, itself included) of every row of ``docs`` (doc_id,
+    text). Empty texts are linked with nothing."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = grouped(banded(docs), band_lists, lambda nodes: lambda pairs: verified_by_sets(docs, nodes, pairs))
+    return found.withColumnRenamed("component_id", "class_id")

@@ -22,7 +22,7 @@ only one; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import combinations
 from math import comb
@@ -170,7 +170,7 @@ def parity_marks(found: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _set_id(found: np.ndarray) -> bytes:
+def set_id(found: np.ndarray) -> bytes:
     return blake2b(found.tobytes(), digest_size=16).digest()
 
 
@@ -187,7 +187,7 @@ def profiles(docs: DataFrame, keys) -> DataFrame:
                 for _, found in text_sets(part.column(1), SHINGLE):
                     head = own.head(found) if len(found) else found
                     n.append(len(found))
-                    ids.append(_set_id(found))
+                    ids.append(set_id(found))
                     marks.append(parity_marks(found))
                     heads.append(head.tobytes())
                     k = own.of(found, head) if len(found) else found
@@ -283,7 +283,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 sets = [found for _, found in text_sets(batch.column(1).slice(at, 512), SHINGLE)]
-                yield pa.record_batch([pa.array([_set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "n", "value"])
+                yield pa.record_batch([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "n", "value"])
 
     wanted = materialise(nodes.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct(), "wanted")
     texts = semi_join(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text"), wanted, "doc_id")
@@ -291,36 +291,41 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(made.join(nodes.select(F.col("row").alias("node"), "set_id"), "set_id").dropDuplicates(["node"]).select("node", "n", "value"), "whole-sets", "uncompressed")
 
 
-def verifier(docs: DataFrame, nodes: DataFrame):
-    """Links among candidates: by heads first, then by whole sets, which are made of the texts of what is left."""
-    heads = nodes.select(F.col("row").alias("node"), "n", F.col("head").alias("value"))
+def verified_by_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links among ``pairs`` by their whole sets, which are made of the texts of these nodes."""
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = whole_sets(docs, nodes.select("row", "doc_id", "set_id").join(ends, "row", "left_semi"))
+    return materialise(filtered_pairs(pairs, sets, _links), "verified")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        likely = materialise(filtered_pairs(pairs, heads, _may_link), "likely")
-        ends = likely.select(F.col("a").alias("row")).union(likely.select(F.col("b").alias("row"))).distinct()
-        sets = whole_sets(docs, nodes.select("row", "doc_id", "set_id").join(ends, "row", "left_semi"))
-        return materialise(filtered_pairs(likely, sets, _links), "verified")
 
-    return verified
+def verifier(docs: DataFrame, nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Links among candidates: by heads first, then what is left by whole sets."""
+    heads = nodes.select(F.col("row").alias("node"), "n", F.col("head").alias("value"))
+    return lambda pairs: verified_by_sets(docs, nodes, materialise(filtered_pairs(pairs, heads, _may_link), "likely"))
 
 
-def joined(docs: DataFrame, boundary: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    frequent, counts, by_cost = census(docs.select("text"))
-    keys = docs.sparkSession.sparkContext.broadcast(Keys(frequent, counts, by_cost if boundary is None else boundary))
-    found = profiles(docs, keys)
+def grouped(found: DataFrame, lists: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``found`` (row, doc_id, n, set_id and more, a written table). Rows of equal sets are
+    one node; ``lists`` gives the nodes' inverted lists, ``verify`` what finds the links among candidates."""
     firsts = found.filter("n > 0").groupBy("set_id").agg(F.min("row").alias("node"))
     places = materialise(found.select("row", "doc_id", "n", "set_id").join(firsts, "set_id", "left").select("row", "doc_id", "n", F.coalesce("node", "row").alias("node")), "places")
     copies = materialise(places.filter("row <> node").select("row"), "copies")
     nodes = semi_join(found.filter("n > 0"), copies, "row", "left_anti")
-    labels = linked(lists_of(nodes, keys), verifier(docs, nodes))
+    labels = linked(lists(nodes), verify(nodes))
     if labels is not None:
         places = places.join(labels, "node", "left").select("row", "doc_id", "n", F.coalesce("component", "node").alias("node"))
     smallest = places.groupBy("node").agg(F.min("doc_id").alias("component_id"))
     return places.join(smallest, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def joined(docs: DataFrame, boundary: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    frequent, counts, by_cost = census(docs.select("text"))
+    keys = docs.sparkSession.sparkContext.broadcast(Keys(frequent, counts, by_cost if boundary is None else boundary))
+    return grouped(profiles(docs, keys), lambda nodes: lists_of(nodes, keys), lambda nodes: verifier(docs, nodes))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` of which each is its component's smallest doc_id, with all columns; documents without words all stay."""
     lost = materialise(joined(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near-copies")

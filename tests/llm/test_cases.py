@@ -81,6 +81,9 @@ def test_fingerprints(docs, empty):
     assert len(got) == 12 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert len({r["fingerprint"] for r in got if r["n_chars"] in (0, 3) and r["doc_id"] in (1, 2, 3)}) == 1
     assert minhash.fingerprints(empty).count() == 0
+    near = {(r["doc_id"], r["n_shingles"]): r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert near[7, 978] == 6 and near[5, 1] == 4 and near[1, 0] == 1 and near[2, 0] == 2 and near[9, 3] == 9 and near[None, 1] is None
+    assert minhash.near_duplicates(docs).count() == 12 and minhash.near_duplicates(empty).count() == 0
 
 
 def test_fixity(spark):

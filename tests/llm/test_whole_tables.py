@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from tallyline.llm import minhash
 from tallyline.llm.byte_bpe import load_ranks
 from tallyline.llm.queries import QUERIES
 
@@ -111,3 +112,14 @@ def test_op10_components(spark, folder):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op10_ngram_join"](spark, folder).collect()}
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
     assert sum(i != c for i, c in want.items()) > 3
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_minhash_classes(spark, folder):
+    """Bands find at least nine of ten documents with a link, and verification joins nothing that brute force doesn't."""
+    sets = {r["doc_id"]: shingles(r["text"] or "") for r in pq.read_table(f"{folder}/documents.parquet").to_pylist()}
+    want = brute_components(sets)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    assert got.keys() == sets.keys() and all(want[i] == want[c] for i, c in got.items())
+    later = [i for i, c in want.items() if i != c]
+    assert later and sum(got[i] != i for i in later) >= 0.9 * len(later)
