@@ -19,6 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyline.llm.byte_bpe import load_ranks
+from tallyline.llm.common import materialise
 from tallyline.llm.pieces import Pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -44,8 +45,8 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def histogram(lengths_of: DataFrame) -> DataFrame:
-    """n_tokens, docs."""
-    return lengths_of.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
+    """n_tokens, docs; a written table, one row for each length, so that no question encodes again."""
+    return materialise(lengths_of.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")), "length-histogram")
 
 
 def limits(counts: DataFrame) -> DataFrame:
