@@ -1,6 +1,6 @@
 """Connected components of verified links, without listing all pairs of a group.
 
-Members of an inverted list (rows key, node, n, and parity marks of the node's set) are candidates for each other. A round picks a few members of each list as pivots, tests
+Members of an inverted list (nodes that have its key) are candidates for each other. A round picks a few members of each list as pivots, tests
 every other member against them, and joins what is linked; lists whose members are all of one component are done. What is left after
 the rounds, members of different components in one list, is tested pair by pair, with the members of a list's largest component on one
 side only. No link between different components is lost, and a list of g copies costs about g tests, not g * g.
@@ -42,20 +42,27 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+MARKS = ["m0", "m1", "m2", "m3"]
+
+
+def by_node(entries: DataFrame) -> DataFrame:
+    """node, n, marks and the node's keys, of list entries (key, node, n, marks): as many rows as nodes, each as long as its text's head."""
+    return entries.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *MARKS)], F.collect_list("key").alias("keys"))
+
+
 def _cross(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists' rows with their component, without lists of one component; ``giant`` is a large component of the list."""
+    """The lists' entries with their component, without lists of one component; ``giant`` is a large component of the list. Components
+    are joined to nodes, before their keys are unfolded."""
     if labels is None:
         placed = lists.withColumn("component", F.col("node"))
     else:
         placed = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.select(F.explode("keys").alias("key"), "node", "n", *MARKS, "component")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     several = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("size")).filter("k > 1")
     return placed.join(several.select("key", F.col("top.component").alias("giant"), F.col("top.c").alias("of_giant"), "size"), "key")
 
 
-MARKS = ["m0", "m1", "m2", "m3"]
-
-
 def near(a: str, b: str) -> Column:
     """Sizes that a likeness of 0.8 allows, and parity marks that do: sets differ in one element at least for every bit in which their
     marks differ, and linked sets of n and m differ in n + m - 2 * needed elements at most."""
@@ -69,7 +76,7 @@ def _side(name: str, of: str = "") -> list[Column]:
 
 
 def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """node, component over ``lists`` (key, node, n, marks), a written table; ``verified`` gives the links (a, b) among candidates (a, b).
+    """node, component over ``lists`` (node, n, marks, keys), a written table; ``verified`` gives the links (a, b) among candidates (a, b).
     None if there is no list."""
     found, labels = None, None
     for turn in range(ROUNDS + 1):
@@ -96,5 +103,5 @@ def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> Data
         labels = components(found)
         if finish:
             return labels
-        lists = rest.select("key", "node", "n", *MARKS)
+        lists = by_node(rest.select("key", "node", "n", *MARKS))
     return labels

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyline.llm.common import materialise, semi_join
-from tallyline.llm.links import MARKS
+from tallyline.llm.links import MARKS, by_node
 from tallyline.llm.ngram_join import grouped, parity_marks, set_id, verified_by_sets
 from tallyline.llm.words import U64, chunks, mix, shingle_hashes, text_buffers, text_sets
 
@@ -169,10 +169,10 @@ def banded(docs: DataFrame) -> DataFrame:
 
 
 def band_lists(nodes: DataFrame) -> DataFrame:
-    """key, node, n and marks of every band key that two nodes or more have, a written table."""
+    """node, n, marks and keys of every node that shares a band key, a written table; a key that one node alone has is left out."""
     entries = nodes.select(F.explode("keys").alias("key"), F.col("row").alias("node"), F.col("n").cast("int").alias("n"), *MARKS)
     met = materialise(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "bands-met")
-    return materialise(semi_join(entries, met, "key"), "bands")
+    return materialise(by_node(semi_join(entries, met, "key")), "bands")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ def profiles(docs: DataFrame, keys) -> DataFrame:
 
 
 def lists_of(nodes: DataFrame, keys) -> DataFrame:
-    """key, node, n and marks of every list with two members or more, a written table. A list's rows come to one task in order of key and pass it
+    """node, n, marks and keys of every node in a list with two members or more, a written table. A list's rows come to one task in order of key and pass it
     in a stream; lists of frequent shingles come in parts, which are all kept."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,8 @@ def lists_of(nodes: DataFrame, keys) -> DataFrame:
     made = nodes.select("row", "n", "head", "keys").mapInArrow(lambda b: gathered(entries(b)), "key bigint, part bigint, node bigint, n bigint")
     dealt = made.withColumn("n", F.col("n").cast("int")).withColumn("part", F.col("part").cast("int")).repartition("key", "part").sortWithinPartitions("key", "part")
     kept = dealt.mapInArrow(several, "key bigint, node bigint, n int")
-    return materialise(kept.join(nodes.select(F.col("row").alias("node"), *MARKS), "node"), "lists")
+    held = kept.groupBy("node").agg(F.collect_list("key").alias("keys"))          # as many as the node's own keys
+    return materialise(held.join(nodes.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), *MARKS), "node"), "lists")
 
 
 def _pair_filter(bound) -> callable:
