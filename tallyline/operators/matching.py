@@ -13,21 +13,20 @@ def cohort_z(rows: DataFrame, cohort: list[str], values: dict[str, str], weight:
     """One score per entry of ``values`` (score name -> measure): distance from the weighted cohort mean in weighted deviations, clipped;
     null for a cohort that is too small or flat.
 
-    Weighted moments of all measures come from one aggregate with a row per cohort, which is joined back: no window, no hot task.
+    Weighted means of all measures come from one aggregate with a row per cohort, deviations from them of a second one, both joined back:
+    no window, no hot task, and large values with small deviations keep their digits.
     """
     w = F.col(weight).cast("double")
-    aggs = []
+    known = {name: (F.col(weight) >= min_weight) & F.col(x).isNotNull() for name, x in values.items()}
+    means, deviations, scores = [], [], []
     for name, x in values.items():
-        known = (F.col(weight) >= min_weight) & F.col(x).isNotNull()
-        v = F.col(x).cast("double")
-        aggs += [F.count_if(known).alias("_n_" + name), F.sum(F.when(known, w)).alias("_w_" + name), F.sum(F.when(known, w * v)).alias("_s_" + name), F.sum(F.when(known, w * v * v)).alias("_q_" + name)]
-    out = rows.join(rows.groupBy(*cohort).agg(*aggs), cohort, "left")
-    scores = []
-    for name, x in values.items():
-        mu = F.col("_s_" + name) / F.col("_w_" + name)
-        sd = F.sqrt(F.greatest(F.col("_q_" + name) / F.col("_w_" + name) - mu * mu, F.lit(0.0)))
-        z = F.greatest(F.lit(-clip_at), F.least(F.lit(clip_at), (F.col(x) - mu) / sd))
-        scores.append(F.when((F.col("_n_" + name) >= min_rows) & (sd > 1e-9) & F.col(x).isNotNull(), z).alias(name))
+        v, mu = F.col(x).cast("double"), F.col("_m_" + name)
+        means += [F.count_if(known[name]).alias("_n_" + name), (F.sum(F.when(known[name], w * v)) / F.sum(F.when(known[name], w))).alias("_m_" + name)]
+        deviations.append(F.sqrt(F.sum(F.when(known[name], w * (v - mu) * (v - mu))) / F.sum(F.when(known[name], w))).alias("_d_" + name))
+        z = F.greatest(F.lit(-clip_at), F.least(F.lit(clip_at), (v - mu) / F.col("_d_" + name)))
+        scores.append(F.when((F.col("_n_" + name) >= min_rows) & (F.col("_d_" + name) > 1e-9) & F.col(x).isNotNull(), z).alias(name))
+    placed = rows.join(rows.groupBy(*cohort).agg(*means), cohort, "left")
+    out = placed.join(placed.groupBy(*cohort).agg(*deviations), cohort, "left")
     return out.select(*rows.columns, *scores)
 
 

@@ -180,20 +180,24 @@ def resolve_in_context(rows: DataFrame, known: DataFrame, memberships: DataFrame
 def unique_substring_match(queries: DataFrame, known: DataFrame, *, query: str = "query", entity: str = "player_id", name: str = "player_name") -> DataFrame:
     """(query, entity): exact normalised name, else the only name that contains the query.
 
-    The substring tier joins on the query's words: a containing name holds every complete word of it, so the rarest word finds it.
+    Queries of three characters or more join on the rarest of their trigrams; shorter ones are a gram themselves, whose names are counted
+    before the join. An empty query matches nothing.
     """
     q = queries.select(query, normalize_name(F.col(query)).alias("_q")).distinct()
     k = known.select(entity, normalize_name(F.col(name)).alias("_n")).distinct()
     exact = q.join(k, F.col("_q") == F.col("_n")).groupBy(query).agg(F.countDistinct(entity).alias("_c"), F.min(entity).alias("_id")).where(F.col("_c") == 1)
     rest = q.join(exact, query, "left_anti")
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3))
-    pieces = k.select(entity, "_n", F.explode(F.array_distinct(grams(F.col("_n")))).alias("_g"))
+    grams = lambda c, n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)), lambda g: F.length(g) == n)
+    pieces = k.select(entity, "_n", F.explode(F.array_distinct(grams(F.col("_n"), 3))).alias("_g"))
+    brief = k.select(entity, F.explode(F.array_distinct(F.concat(grams(F.col("_n"), 1), grams(F.col("_n"), 2)))).alias("_q"))
+    brief = brief.groupBy("_q").agg(F.countDistinct(entity).alias("_c"), F.min(entity).alias("_id")).where(F.col("_c") == 1)
+    short = rest.where(F.length("_q").between(1, 2)).join(brief, "_q")
     sizes = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_size"))
-    wanted = rest.where(F.length("_q") >= 3).select(query, "_q", F.explode(F.array_distinct(grams(F.col("_q")))).alias("_g"))
+    wanted = rest.where(F.length("_q") >= 3).select(query, "_q", F.explode(F.array_distinct(grams(F.col("_q"), 3))).alias("_g"))
     rarest = wanted.join(sizes, "_g", "left").groupBy(query, "_q").agg(F.min_by("_g", F.struct(F.coalesce("_size", F.lit(0)), F.col("_g"))).alias("_g"))
     part = rarest.join(pieces, "_g").where(F.contains("_n", "_q"))
     part = part.groupBy(query).agg(F.countDistinct(entity).alias("_c"), F.min(entity).alias("_id")).where(F.col("_c") == 1)
-    found = exact.select(query, "_id").unionByName(part.select(query, "_id"))
+    found = exact.select(query, "_id").unionByName(part.select(query, "_id")).unionByName(short.select(query, "_id"))
     return queries.select(query).distinct().join(found, query, "left").withColumnRenamed("_id", entity)
 
 

@@ -111,3 +111,21 @@ def test_match_methods(spark):
                                 "source_id string, name string, season_start int")
     got = {r["source_id"]: (r["match_method"], r["player_id"]) for r in resolve.match_entities(src, known, source_name="x").collect()}
     assert got == {"a": ("exact", 1), "b": ("normalized", 2), "c": ("exact", 4), "d": ("ambiguous", None), "e": ("fuzzy", 5), "f": ("unmatched", None)}
+
+
+def test_short_queries_match_as_substrings(spark):
+    from tallyline.operators.resolve import unique_substring_match
+
+    known = spark.createDataFrame([("1", "Ann Lindy"), ("2", "Bo Ray"), ("3", "Abe Quill"), ("4", "li")], "player_id string, player_name string")
+    asked = spark.createDataFrame([("li",), ("q",), ("a",), ("nd",), ("lind",), ("zz",), ("",), (None,)], "query string")
+    got = {r["query"]: r["player_id"] for r in unique_substring_match(asked, known).collect()}
+    assert got == {"li": "4", "q": "3", "a": None, "nd": "1", "lind": "1", "zz": None, "": None, None: None}
+
+
+def test_cohort_scores_of_large_values(spark):
+    from tallyline.operators.matching import cohort_z
+
+    rows = spark.createDataFrame([("g", float(add + i), 1.0, add) for add in (0, 10**9) for i in range(6)], "k string, x double, w double, base long")
+    got = cohort_z(rows, ["k", "base"], {"z": "x"}, "w").collect()
+    plain = {r["x"]: r["z"] for r in got if r["base"] == 0}
+    assert len(got) == 12 and all(abs(r["z"] - plain[r["x"] - r["base"]]) < 1e-6 for r in got)
