@@ -1,7 +1,9 @@
 """Streaming ledgers: keyed first/last sightings and window replacement through ``foreachBatch``.
 
-A ledger folder is cut into hash buckets with a version each. A micro-batch reads and rewrites only the buckets it touches and
-commits them under its own batch id, so a replayed batch writes the same version again and nothing is lost or doubled.
+A ledger folder is cut into hash buckets with a version each. A micro-batch reads and rewrites only the buckets it touches, as one version
+above all that other batches wrote, and names its stream's run and its batch id there. A replayed batch finds what it wrote by that name and
+writes it again, so nothing is lost or doubled; a stream that starts anew without its position counts batches from 0 again, but is
+another run, whose versions come after the stored ones.
 """
 
 from __future__ import annotations
@@ -14,49 +16,75 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyline.operators.merge import first_last_seen, merge_ledger, replace_window_keep
 
 BUCKETS = 64
+PLACE = ["bucket", "version", "ledger_run", "ledger_batch"]
+#: What Spark says of a folder that isn't there, and of one without a data file.
+NOT_WRITTEN = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def bucket_of(key: list[str], buckets: int = BUCKETS):
     return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
 
 
-def read_versions(spark: SparkSession, path: str, *, before: int | None = None) -> DataFrame | None:
-    """Current rows: the newest version of every bucket (older than ``before`` while a batch is being written)."""
+def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """All versions; None before the first batch. A folder that can't be read is an error, not an empty ledger."""
     try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    rows = rows if before is None else rows.where(F.col("version") < before)
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in NOT_WRITTEN:
+            return None
+        raise
+
+
+def newest_version(rows: DataFrame) -> DataFrame:
+    """Rows of the newest version of every bucket."""
     newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))            # partition columns only
     return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi")         # at most one row per bucket
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    rows = read_versions(spark, path)
-    return None if rows is None else rows.drop("bucket", "version")
+    rows = stored_rows(spark, path)
+    return None if rows is None else newest_version(rows).drop(*PLACE)
 
 
-def _write(rows: DataFrame, path: str, version: int) -> None:
-    out = rows.withColumn("version", F.lit(version))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
+def ledger_batch(path: str, key: list[str], merge: Callable[..., DataFrame], *, buckets: int = BUCKETS, day: str | None = None,
+                 run: Callable[[SparkSession], str] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that merges a micro-batch into the ledger's touched buckets.
 
-
-def ledger_batch(path: str, key: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame], *, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that merges a micro-batch into the ledger's touched buckets."""
-    def run(batch: DataFrame, batch_id: int) -> None:
+    ``merge`` gets the touched buckets' rows (None before the first batch) and the batch's rows; with ``day``, also the newest day of
+    the batch and all the ledger. ``run`` names the stream that batch ids belong to; without it, they go on with the newest stored run.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("bucket", bucket_of(key, buckets)).persist()
         try:
             touched = [r[0] for r in new.select("bucket").distinct().collect()]       # at most ``buckets`` numbers
             if not touched:
                 return
-            stored = read_versions(spark, path, before=batch_id + 1)
-            old = None if stored is None else stored.where(F.col("bucket").isin(*touched)).drop("bucket", "version")
-            merged = merge(old, new.drop("bucket"))
-            _write(merged.withColumn("bucket", bucket_of(key, buckets)), path, batch_id + 1)
+            name, version, current = run(spark) if run else None, 1, None
+            stored = stored_rows(spark, path)
+            if stored is not None:
+                name = name or stored.agg(F.max_by("ledger_run", "version")).first()[0]
+                stored = stored.where((F.col("ledger_run") != name) | (F.col("ledger_batch") != batch_id))
+                version = 1 + (stored.agg(F.max("version")).first()[0] or 0)
+                current = newest_version(stored) if version > 1 else None
+            old = None if current is None else current.where(F.col("bucket").isin(*touched)).drop(*PLACE)
+            fresh = new.drop("bucket")
+            if day is None:
+                merged = merge(old, fresh)
+            else:
+                days = [d for part in (current, new) if part is not None if (d := part.agg(F.max(day)).first()[0]) is not None]
+                merged = merge(old, fresh, max(days, default=None))
+            out = merged.withColumn("bucket", bucket_of(key, buckets)).withColumns(
+                {"version": F.lit(version), "ledger_run": F.lit(name or "direct"), "ledger_batch": F.lit(batch_id)})
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(path)
         finally:
             new.unpersist()
-    return run
+    return write
+
+
+def run_of(checkpoint: str) -> Callable[[SparkSession], str]:
+    """The id that Spark keeps in a query's checkpoint folder: the same after a restart, a new one after a reset."""
+    return lambda spark: "query-" + spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
 def sightings(key: list[str], seen: str, attributes: list[str]) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
@@ -76,23 +104,22 @@ def transactions(signature: list[str]) -> Callable[[DataFrame | None, DataFrame]
     return lambda old, new: merge_ledger(old, new, signature=signature)
 
 
-def window_batch(path: str, key: list[str], day: str, *, overlap_days: int, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function for an overlapping re-pull: rows of the last ``overlap_days`` before a batch's newest day are replaced,
-    late corrections older than that are ignored; keys in no fresh row keep their stored copy."""
-    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        newest = new.agg(F.max(day)).scalar()
-        new = new.where(F.col(day) >= F.date_sub(newest, overlap_days))
+def window_batch(path: str, key: list[str], day: str, *, overlap_days: int, buckets: int = BUCKETS, run: Callable[[SparkSession], str] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function for an overlapping re-pull: rows of the last ``overlap_days`` before the newest day of ledger and batch
+    are replaced, late corrections older than that are ignored; keys in no fresh row keep their stored copy."""
+    def merge(old: DataFrame | None, new: DataFrame, newest) -> DataFrame:
+        inside = F.col(day) >= F.date_sub(F.lit(newest).cast("date"), overlap_days)
+        new = new.where(inside)
         if old is None:
             return new
-        inside = F.col(day) >= F.date_sub(newest, overlap_days)
         vanished = old.where(inside).select(*key).join(new.select(*key), key, "left_anti")
         return replace_window_keep(old, new, in_window=inside, key=key, keep=vanished)
-    return ledger_batch(path, key, merge, buckets=buckets)
+    return ledger_batch(path, key, merge, buckets=buckets, day=day, run=run)
 
 
 def start_ledger(stream: DataFrame, path: str, checkpoint: str, key: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame], *, available_now: bool = True, buckets: int = BUCKETS):
     """Start the ledger query; the checkpoint folder holds the consumer's position."""
-    writer = stream.writeStream.foreachBatch(ledger_batch(path, key, merge, buckets=buckets)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(ledger_batch(path, key, merge, buckets=buckets, run=run_of(checkpoint))).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 

@@ -138,6 +138,41 @@ def test_stream_ledger_survives_replay(spark):
     assert get() == want
 
 
+def test_stream_ledger_goes_on_after_a_reset(spark):
+    from datetime import datetime
+    src, out = folder(), folder() + "/rows"
+    rule, schema = ledger.sightings(["k"], "ts", []), "k string, ts timestamp_ntz"
+    for turn, k in enumerate(["a", "b", "a"]):
+        spark.createDataFrame([(k, datetime(2024, 1, 1 + turn))], schema).write.mode("append").parquet(f"{src}/old")
+        ledger.start_ledger(spark.readStream.schema(schema).parquet(f"{src}/old"), out, f"{src}/position", ["k"], rule, buckets=1).awaitTermination()
+    spark.createDataFrame([("z", datetime(2024, 2, 1))], schema).write.parquet(f"{src}/new")
+    for _ in range(2):                                       # a new position; then nothing new under it
+        ledger.start_ledger(spark.readStream.schema(schema).parquet(f"{src}/new"), out, f"{src}/reset", ["k"], rule, buckets=1).awaitTermination()
+    assert {r["k"]: r["n_seen"] for r in ledger.read_ledger(spark, out).collect()} == {"a": 2, "b": 1, "z": 1}
+
+
+def test_unreadable_ledger_is_an_error(spark):
+    out = folder()
+    assert ledger.read_ledger(spark, out + "/none") is None
+    spark.range(1).write.parquet(out + "/mixed/a=1")
+    spark.range(1).write.parquet(out + "/mixed/b=1/c=2")
+    with pytest.raises(Exception):
+        ledger.read_ledger(spark, out + "/mixed")
+
+
+def test_window_batch_counts_from_the_newest_day_of_the_ledger(spark):
+    from datetime import date
+    out = folder() + "/rows"
+    mk = lambda rows: spark.createDataFrame(rows, "k int, day date, v int")             # noqa: E731
+    put = ledger.window_batch(out, ["k"], "day", overlap_days=3, buckets=8)
+    put(mk([(1, date(2024, 1, 1), 10), (2, date(2024, 1, 9), 20), (3, date(2024, 1, 10), 30)]), 0)
+    get = lambda: {r["k"]: r["v"] for r in ledger.read_ledger(spark, out).collect()}     # noqa: E731
+    assert get() == {2: 20, 3: 30}
+    for _ in range(2):                                       # a late batch, delivered twice
+        put(mk([(4, date(2024, 1, 2), 40), (2, date(2024, 1, 9), 21)]), 1)
+        assert get() == {2: 21, 3: 30}
+
+
 def test_pending_games_stream_equals_batch(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", pending.ROCKSDB)
     src = folder()
