@@ -1,8 +1,8 @@
 """Ranks, cumulative counts and levels that do not depend on one task holding a whole group.
 
 A plain window sends a group to one task. Here a cheap probe first counts rows per group (partially aggregated on the map
-side). Groups above ``rows_per_task`` are cut into value ranges; each range is ranked by its own task and the counts of the
-earlier ranges are added. Groups below the limit, and so the usual case, run as one plain window with no extra shuffle.
+side). Groups above ``rows_per_task`` are cut into value ranges, the more the larger the group is; each range is ranked by its own task and
+the counts of the earlier ranges are added. Groups below the limit, and so the usual case, run as one plain window with no extra shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from pyspark.sql import types as T
 
 ROWS_PER_TASK = 4_000_000
 SMALL_INPUT_BYTES = 32 << 20
-CUTS = 128
+#: Plan steps whose size estimate doesn't grow with the rows that they make.
+ROW_MAKERS = ("Generate", "Expand", "MapIn", "FlatMap")
+#: Ranges of an oversized group, for each ``rows_per_task`` rows that it has.
+RANGES = 2
 SLICE = "_slice"
 _ORDERED_AS_NUMBER = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 
@@ -38,9 +41,10 @@ def asc(name: str) -> By:
     return By(name, False)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size the optimizer expects of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def surely_small(df: DataFrame) -> bool:
+    """Whether the probe isn't worth its job: the optimizer's size is small, and no step makes more rows than that size tells of."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) < SMALL_INPUT_BYTES and not any(step in plan.toString() for step in ROW_MAKERS)
 
 
 def _as_number(df: DataFrame, key: By) -> Column | None:
@@ -62,13 +66,17 @@ def _cut(df: DataFrame, group: list[str], key: By, slice_name: str, rows_per_tas
     number = _as_number(df, key)
     if number is None:
         return None
-    pct = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    hot = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(number, pct, F.lit(CUTS * 20)).alias("_cuts"))
-           .where(F.col("_n") > rows_per_task).select(*group, F.array_distinct("_cuts").alias("_cuts")))
-    # At most (all rows / rows_per_task) groups are listed, each with fewer than CUTS numbers.
-    rows = hot.collect()
-    if not rows:
+    sized = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
+    largest = sized.agg(F.max("_n")).first()[0]                                       # one number
+    if largest is None:
         return None
+    cuts = max(2, -(-RANGES * largest // rows_per_task))
+    points = ", ".join(f"{i / cuts!r}D" for i in range(1, cuts))
+    hot = (df.withColumn("_num", number).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.expr(f"percentile_approx(_num, array({points}), {cuts * 20})").alias("_cuts"))
+           .where(F.col("_n") > rows_per_task).withColumn("_of", F.ceil(F.col("_n") * RANGES / rows_per_task).cast("int"))
+           .select(*group, F.array_distinct(F.expr(f"transform(sequence(1, greatest(_of, 2) - 1), i -> element_at(_cuts, greatest(1, cast(floor(i * {cuts}L / _of) as int))))")).alias("_cuts")))
+    # RANGES * (all rows / rows_per_task) numbers at most, over all groups listed.
+    rows = hot.collect()
     listed = df.sparkSession.createDataFrame(rows, hot.schema)
     at = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("_num"))))
     joined = df.withColumn("_num", number)
@@ -85,7 +93,7 @@ def _cut(df: DataFrame, group: list[str], key: By, slice_name: str, rows_per_tas
 
 def slice_groups(df: DataFrame, group: list[str], order: list[By], rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, list[str]]:
     """``df`` plus the slice columns that were needed: one for the first key, one more for ties of it split by the second."""
-    if plan_bytes(df) < SMALL_INPUT_BYTES and rows_per_task >= ROWS_PER_TASK:
+    if rows_per_task >= ROWS_PER_TASK and surely_small(df):
         return df, []
     sliced = _cut(df, group, order[0], SLICE, rows_per_task)
     if sliced is None:
@@ -100,7 +108,7 @@ def slice_groups(df: DataFrame, group: list[str], order: list[By], rows_per_task
 
 
 def _before(df: DataFrame, group: list[str], slices: list[str], order: list[By], total: Column, name: str) -> DataFrame:
-    """Sum of ``total`` over the earlier slices of each group. One row per slice: bounded by groups x CUTS."""
+    """Sum of ``total`` over the earlier slices of each group. One row per slice: bounded by groups and RANGES * (rows / rows_per_task)."""
     sums = df.groupBy(*group, *slices).agg(total.alias("_in_slice"))
     w = Window.partitionBy(*group).orderBy(*[_slice_sort(s, order) for s in slices]).rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(*group, *slices, F.coalesce(F.sum("_in_slice").over(w), F.lit(0)).alias(name))

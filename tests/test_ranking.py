@@ -47,3 +47,19 @@ def test_nulls_rank_last_and_stay_null(spark):
 def test_top_k_keeps_ties_deterministic(spark):
     df = spark.createDataFrame([(i, 1.0) for i in range(20)], "id long, v double").repartition(5)
     assert sorted(r["id"] for r in R.top_k(df, [], [R.desc("v"), R.asc("id")], 3).collect()) == [0, 1, 2]
+
+
+def test_exploded_rows_are_probed(spark, monkeypatch):
+    few = spark.range(2).select("id", F.col("id").cast("double").alias("v"))
+    many = few.select("id", F.explode(F.sequence(F.lit(1), F.lit(500))).alias("v"))
+    assert R.surely_small(few) and not R.surely_small(many)
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 100)
+    assert R.slice_groups(many, ["id"], [R.asc("v")], 100)[1] and not R.slice_groups(few, ["id"], [R.asc("v")], 100)[1]
+
+
+def test_ranges_follow_the_size_of_the_group(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") < 400, 1).otherwise(0).alias("g"), F.col("id").alias("v"))
+    sliced, names = R.slice_groups(df, ["g"], [R.asc("v")], 100)
+    sizes = sliced.groupBy("g", *names).count().groupBy("g").agg(F.count("*").alias("k"), F.max("count").alias("n")).collect()
+    got = {r["g"]: (r["k"], r["n"]) for r in sizes}
+    assert got[0][0] > 300 and got[1][0] <= 8 and max(n for _, n in got.values()) <= 100
