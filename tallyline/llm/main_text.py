@@ -8,14 +8,16 @@ greatest sum, if that is less) and ends where it dives to nothing. All filled li
 Where a page marks its article, lines outside it count as empty. Otherwise regions of at least ``SHARE`` of the largest region's text
 are kept.
 
-Cases: null or empty html gives an empty text; a page cut off inside a tag loses that tag; unclosed elements end with their parent; repeated
-rows stay; other columns are ignored.
+Cases: null or empty html gives an empty text; a page cut off inside a tag loses that tag; unclosed elements end with their parent, and a
+head, title, frame, object, drawing, button or choice also at the next block; one closed in its own tag is empty; comments, scripts, styles
+and text areas without an end go on to the end of the page; repeated rows stay; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,12 +25,16 @@ from pyspark.sql import DataFrame, functions as F
 
 WINDOW, SURGE, SHARE = 3, 80, 0.25
 
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!])[^>]*\Z")
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("p div section article main body h1 h2 h3 h4 h5 h6 ul ol li table thead tbody tr td th dl dt dd blockquote pre figure figcaption address details summary hr header footer nav aside form fieldset menu dialog".split())
+HEADS = frozenset("base link meta".split())
+#: Elements whose text is dropped from the line around them.
+DROPPED = frozenset("title noscript template svg iframe object select button".split())
+UNQUOTED = re.compile(r"=\s*[^\s\"']+/\Z")
 OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 #: Words in class, id or role that mark what is no part of an article.
 MARKS = frozenset(
@@ -44,6 +50,34 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+def _ends(tags: list[re.Match]) -> dict[int, int]:
+    """Place of the closing tag of every dropped element that is closed before its parent ends."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    counts: Counter = Counter()
+    for i, tag in enumerate(tags):
+        name = (tag[2] or "").lower()
+        if name not in DROPPED and (name not in BLOCKS or name in VOID):
+            continue
+        if not tag[1]:
+            if name in BLOCKS or not _closed(tag[3]):
+                opened.append((name, i))
+                counts[name] += 1
+        elif counts[name]:
+            while True:
+                other, at = opened.pop()
+                counts[other] -= 1
+                if other == name:
+                    break
+            if name in DROPPED:
+                ends[at] = i
+    return ends
+
+
+def _closed(attributes: str) -> bool:
+    return attributes.endswith("/") and not UNQUOTED.search(attributes)
+
+
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     """(text, counts as content, inside the article) of every block in page order."""
     page = RAW.sub(" ", page)
@@ -68,12 +102,37 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 del stack[i:]
                 return
 
+    def loose() -> int | None:
+        """Place of the lowest open element, above the last block, whose text is dropped."""
+        found = None
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in BLOCKS:
+                break
+            if stack[i][0] == "head" or stack[i][0] in DROPPED:
+                found = i
+        return found
+
+    def add(part: str) -> None:
+        nonlocal linked
+        if stack and stack[-1][0] == "head" and part.strip():
+            stack.pop()
+        if loose() is not None:
+            text.append(" ")
+            return
+        text.append(part)
+        if anchor:
+            linked += len(" ".join(part.split()))
+
     anchor = 0
-    for tag in TAG.finditer(page):
+    tags = list(TAG.finditer(page))
+    ends = _ends(tags)
+    until = -1
+    for place, tag in enumerate(tags):
+        if place <= until:
+            at = tag.end()
+            continue
         if tag.start() > at:
-            text.append(page[at: tag.start()])
-            if anchor:
-                linked += len(" ".join(text[-1].split()))
+            add(page[at: tag.start()])
         at = tag.end()
         if tag[2] is None:
             continue
@@ -86,6 +145,22 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             else:
                 close(name)
             continue
+        if name in DROPPED:
+            text.append(" ")
+            if name in ("button", "select"):              # neither holds another of its kind
+                close(name)
+            if place in ends:
+                until = ends[place]
+            elif not _closed(tag[3]):
+                stack.append((name, True, stack[-1][2] if stack else False))
+            continue
+        if name == "head":
+            stack.append((name, True, False))
+            continue
+        if stack and stack[-1][0] == "head" and name not in HEADS:
+            stack.pop()
+        if name in BLOCKS and (i := loose()) is not None:
+            del stack[i:]
         if name == "br":
             text.append(" ")
             continue
@@ -111,7 +186,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if name == "hr":
             lines.append(("", False, False))
     if at < len(page):
-        text.append(page[at:])
+        add(page[at:])
     flush()
     return lines
 
