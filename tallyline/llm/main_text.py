@@ -1,12 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element, in page order. A line of a menu, header, footer, sidebar, notice, advert, form
-or of reader comments, and a line that is mostly links, counts as empty, like the lines of nothing between blocks. Text lengths are
-summed over windows of ``WINDOW`` lines; text starts where the sum surges from nothing to ``SURGE`` characters (or to the page's
-greatest sum, if that is less) and ends where it dives to nothing. All filled lines between are kept, none is cut.
+or of reader comments counts as empty, like the lines of nothing between blocks. Where a page marks its article, lines outside it count as
+empty and all others are kept.
 
-Where a page marks its article, lines outside it count as empty. Otherwise regions of at least ``SHARE`` of the largest region's text
-are kept.
+Otherwise lines that are mostly links count as empty too. Text lengths are summed over windows of ``WINDOW`` lines; a region starts where
+the sum rises from nothing and ends where it dives to nothing, and is text if it surges to ``SURGE`` characters (or to the page's greatest
+sum, if that is less), whatever the length of the other regions. From the first to the last such region all filled lines are kept, also
+those of regions without a surge. A region without a surge before the first or after the last one is kept if it has a line in the same
+element (not the body) as a line of a region with one.
 
 Cases: null or empty html gives an empty text; a page cut off inside a tag loses that tag; unclosed elements end with their parent, and a
 head, title, frame, object, drawing, button or choice also at the next block; one closed in its own tag is empty; comments, scripts, styles
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-WINDOW, SURGE, SHARE = 3, 80, 0.25
+WINDOW, SURGE = 3, 80
 
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!])[^>]*\Z")
@@ -78,11 +80,11 @@ def _closed(attributes: str) -> bool:
     return attributes.endswith("/") and not UNQUOTED.search(attributes)
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, counts as content, inside the article) of every block in page order."""
+def lines_of(page: str) -> list[tuple[str, bool, bool, bool, int]]:
+    """(text, counts as content, inside the article, mostly links, number of the element around the block) of every block in page order."""
     page = RAW.sub(" ", page)
-    lines: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []              # element, outside the content, in the article
+    lines: list[tuple[str, bool, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []         # element, outside the content, in the article, number (0: html and body)
     text: list[str] = []
     linked = at = 0
 
@@ -91,7 +93,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         line = " ".join(entities.unescape("".join(text)).split())
         if line:
             outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            lines.append((line, not outside and linked <= 0.5 * len(line), article))
+            blocks = [x[3] for x in stack if x[0] in BLOCKS]
+            lines.append((line, not outside, article, linked > 0.5 * len(line), blocks[-2] if len(blocks) > 1 else 0))
         text, linked = [], 0
 
     def close(name: str) -> None:
@@ -152,10 +155,10 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             if place in ends:
                 until = ends[place]
             elif not _closed(tag[3]):
-                stack.append((name, True, stack[-1][2] if stack else False))
+                stack.append((name, True, stack[-1][2] if stack else False, place + 1))
             continue
         if name == "head":
-            stack.append((name, True, False))
+            stack.append((name, True, False, place + 1))
             continue
         if stack and stack[-1][0] == "head" and name not in HEADS:
             stack.pop()
@@ -182,9 +185,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if name in OUTSIDE or name == "header" and not article or name not in ("html", "body", "article", "main") and _marked(tag[3]) or name == "article" and _marked(tag[3]) and stack and stack[-1][2]:
             outside = True
         if name in BLOCKS or outside != (stack[-1][1] if stack else False):
-            stack.append((name, outside, article))
+            stack.append((name, outside, article, 0 if name in ("html", "body") else place + 1))
         if name == "hr":
-            lines.append(("", False, False))
+            lines.append(("", False, False, False, 0))
     if at < len(page):
         add(page[at:])
     flush()
@@ -194,23 +197,24 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The blocks between surge and dive points, a line end between them."""
     lines = lines_of(page or "")
-    article = any(content and inside for _, content, inside in lines)
-    sizes = [len(t) if content and (inside or not article) else 0 for t, content, inside in lines]
+    if any(content and inside and not links for _, content, inside, links, _ in lines):
+        return "\n".join(text for text, content, inside, _, _ in lines if content and inside)
+    sizes = [len(text) if content and not links else 0 for text, content, _, links, _ in lines]
     sums = [sum(sizes[i: i + WINDOW]) for i in range(len(sizes))]
     least = min(SURGE, max(sums, default=0))
-    regions, start, surged = [], None, False
+    regions, start = [], None
     for i, total in enumerate([*sums, 0]):
         if total and start is None:
-            start, surged = i, False
-        surged = surged or total >= least > 0
+            start = i
         if not total and start is not None:
-            if surged or article:
-                regions.append((start, i))
+            regions.append((start, i))
             start = None
-    if not regions:
+    surged = [max(sums[a:b]) >= least for a, b in regions]
+    if not any(surged):
         return ""
-    masses = [sum(sizes[a:b]) for a, b in regions]
-    kept = [r for r, m in zip(regions, masses) if article or m >= SHARE * max(masses)]
+    first, last = surged.index(True), len(surged) - 1 - surged[::-1].index(True)
+    around = {lines[i][4] for (a, b), s in zip(regions, surged) if s for i in range(a, b) if sizes[i]} - {0}
+    kept = [r for k, r in enumerate(regions) if first <= k <= last or any(sizes[i] and lines[i][4] in around for i in range(*r))]
     return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if sizes[i])
 
 
