@@ -18,9 +18,11 @@ same score; without labels of both kinds every score is 0; a row with a null doc
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ from tallyline.llm.common import free_name, materialise
 
 ORDER, DECAY = 3, 0.6
 LONGEST, STEP = 14, 7
-LANDMARKS, SEEDS = 48, 32
+OTHERS = 8                       # landmarks of each kind that are no seeds, at least
+LANDMARKS = 48
+NEW = 0.5                        # part of a typical string that the landmarks before it don't span, for it to be one
 ENOUGH = 6                       # tenths of a typical string that a unit has in order
-UNLIKELY = 6.0                   # standard deviations above chance at which a unit is typical of toxic documents
+UNLIKELY = 0.01                  # units that pass for typical of toxic documents by chance, in expectation
 TRAINING = 1500
 FOLDS = 5
 CACHED = 500_000
@@ -135,20 +139,20 @@ class Screen:
 
     def __init__(self, typical: list[str]):
         alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(typical))))}
-        self.places = np.zeros((len(alphabet) + 1, len(typical)), np.uint64)
+        self.places = np.zeros((len(alphabet) + 1, len(typical)), np.uint16)   # LONGEST bits are in use
         for k, t in enumerate(typical):
             for i, c in enumerate(t):
-                self.places[alphabet[c], k] |= np.uint64(1 << i)
+                self.places[alphabet[c], k] |= np.uint16(1 << i)
         self.codes = np.array([ord(c) for c in sorted(alphabet)], np.uint32)
         self.least = np.array([max(ORDER, -(-len(t) * ENOUGH // 10)) for t in typical])
-        self.ends = np.array([(1 << len(t)) - 1 for t in typical], np.uint64)
+        self.ends = np.array([(1 << len(t)) - 1 for t in typical], np.uint16)
 
     def passed(self, units: list[str]) -> np.ndarray:
         """Bit-parallel longest common subsequences of all units with all typical strings."""
         codes = _codes(units, LONGEST)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         place = np.where(self.codes[at] == codes, at + 1, 0)
-        left = np.full((len(units), self.places.shape[1]), ~np.uint64(0))
+        left = np.full((len(units), self.places.shape[1]), ~np.uint16(0))
         with np.errstate(over="ignore"):
             for i in range(max((len(u) for u in units), default=0)):
                 met = left & self.places[place[:, i]]
@@ -167,8 +171,8 @@ class Model:
 
     def margins(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), FLOOR)
-        for at in range(0, len(units), 8192):
-            part = units[at: at + 8192]
+        for at in range(0, len(units), 2048):
+            part = units[at: at + 2048]
             hit = np.flatnonzero(self.screen.passed(part))
             if len(hit):
                 out[at + hit] = similarity([part[i] for i in hit], self.landmarks, self.landmark_self) @ self.weights + self.bias
@@ -242,6 +246,63 @@ def train_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     return beta
 
 
+def distinct(own: list[set[str]], labels: list[int]) -> list[int]:
+    """Places of the documents without near copies of an earlier one with the same label: equal minima in a band, and half of all units
+    in common. A group of copies is one witness for its words."""
+    hashes = {u: zlib.crc32(u.encode("utf-8", "surrogatepass")) + 1 for units in own for u in units}
+    factors = np.random.default_rng(3).integers(1, 2**61, 24, dtype=np.uint64) | np.uint64(1)
+    first: dict[tuple, int] = {}
+    out = []
+    for i, units in enumerate(own):
+        if units:
+            least = ((np.fromiter((hashes[u] for u in units), np.uint64, len(units))[:, None] * factors) >> np.uint64(20)).min(axis=0)
+            keys = [(labels[i], at, least[at: at + 3].tobytes()) for at in range(0, 24, 3)]
+            if any(2 * len(own[j] & units) >= len(own[j] | units) for j in {first[k] for k in keys if k in first}):
+                continue
+            for k in keys:
+                first.setdefault(k, i)
+        out.append(i)
+    return out
+
+
+def log_tail(k: int, n: int, p: float) -> float:
+    """Logarithm of the chance of ``k`` or more of ``n`` at probability ``p``."""
+    logs = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, n + 1)]
+    return max(logs) + log(sum(exp(x - max(logs)) for x in logs))
+
+
+def typical_units(left: list[set[str]], in_clean: Counter, clean: int) -> list[str]:
+    """Units that stand in more toxic documents than chance explains, whatever their number; then, in the toxic documents without any of
+    these, the units typical of those, until there are none: a rare insult need not stand out from the frequent ones."""
+    found: set[str] = set()
+    while left:
+        counts = Counter()
+        for units in left:
+            counts.update(units)
+        p = len(left) / (len(left) + clean)
+        bar = log(UNLIKELY / max(1, len(counts)))
+        ratio = lambda u: log((counts[u] + 0.1) / len(left)) - log((in_clean[u] + 0.5) / clean)
+        new = {u for u, k in counts.items() if k > in_clean[u] and k * log(p) <= bar and ratio(u) > 1.0 and log_tail(k, k + in_clean[u], p) <= bar}
+        if not new:
+            break
+        found |= new
+        left = [units for units in left if not units & new]
+    return list(found)
+
+
+def spanning(units: list[str]) -> list[int]:
+    """Places of the units, in their order, that those taken before span by less than all but ``NEW`` in the kernel's space."""
+    alike = similarity(units, units, self_kernel(units)).astype(np.float64)
+    rows, rest = np.zeros((len(units), 0)), np.ones(len(units))
+    out = []
+    for i in range(len(units)):
+        if rest[i] > NEW:
+            row = (alike[:, i] - rows @ rows[i]) / rest[i] ** 0.5
+            rows, rest = np.hstack([rows, row[:, None]]), rest - row * row
+            out.append(i)
+    return out
+
+
 def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Model | None:
     """A model from labelled documents; None if they are of one kind."""
     y = np.array(labels)
@@ -249,21 +310,15 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Model
         return None
     sentences = [[[plain(c) for c in chunks_of(s)] for s in SENTENCE.split(t) if s] for t in texts]
     own = [{u for s in doc for u in s if len(u) >= ORDER} for doc in sentences]
+    counted = distinct(own, labels)
     in_toxic, in_clean = Counter(), Counter()
-    for units, label in zip(own, y):
-        (in_toxic if label else in_clean).update(units)
-    toxic, clean = int(y.sum()), int((1 - y).sum())
+    for i in counted:
+        (in_toxic if y[i] else in_clean).update(own[i])
+    toxic, clean = sum(labels[i] for i in counted), sum(1 - labels[i] for i in counted)
     typical = {u: np.log((k + 0.1) / toxic) - np.log((in_clean[u] + 0.5) / clean) for u, k in in_toxic.items()}
-    chance = {u: (in_toxic[u] + in_clean[u]) * toxic / (toxic + clean) for u in typical}
-    unlikely = {u: (in_toxic[u] - chance[u]) / (chance[u] * clean / (toxic + clean) + 0.1) ** 0.5 for u in typical}
-    seeds = [u for u in typical if typical[u] > 1.0 and unlikely[u] >= UNLIKELY]
-    listed = sorted(seeds or [u for u in typical if typical[u] > 0], key=lambda u: (-in_toxic[u] * typical[u], u))[:400]
-    alike = similarity([u[:LONGEST] for u in listed], [u[:LONGEST] for u in listed], self_kernel([u[:LONGEST] for u in listed]))
-    chosen: list[int] = []
-    for i in range(len(listed)):                          # the most typical first, none that is much like one before
-        if len(chosen) < SEEDS and (not chosen or alike[i, chosen].max() < 0.8):
-            chosen.append(i)
-    everyone, seeds = listed, [listed[i] for i in chosen]
+    everyone = typical_units([own[i] for i in counted if y[i]], in_clean, clean) or sorted((u for u in typical if typical[u] > 0), key=lambda u: (-in_toxic[u] * typical[u], u))[:400]
+    everyone.sort(key=lambda u: (-in_toxic[u] * typical[u], u))
+    seeds = [everyone[i] for i in spanning([u[:LONGEST] for u in everyone])]
     set_of = set(everyone)
     rng = np.random.default_rng(2)
     common = sorted((u for u in in_clean if u not in set_of), key=lambda u: (-in_clean[u], u))
@@ -272,7 +327,7 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Model
     pool.sort()
     close = similarity(pool, [u[:LONGEST] for u in seeds], seed_self).max(axis=1) if pool else np.zeros(0)
     near = [pool[i] for i in np.argsort(-close, kind="stable")[:1500] if pool[i] not in set_of]
-    others = (LANDMARKS - len(seeds)) // 2
+    others = max(OTHERS, (LANDMARKS - len(seeds)) // 2)
     landmarks = [u[:LONGEST] for u in seeds] + [*near[:others], *[u[:LONGEST] for u in common[:others]]]
     landmarks = list(dict.fromkeys(landmarks))
     landmark_self = self_kernel(landmarks)
@@ -295,7 +350,7 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Model
         phi = similarity(units, landmarks, landmark_self).astype(np.float64) @ root
         w, bias = train_svm(phi, target, np.maximum(cost, 0.5))
         weights = root @ w
-        model = Model(Screen([u[:LONGEST] for u in seeds]), landmarks, landmark_self, weights, bias, np.zeros(3))
+        model = Model(Screen(positive), landmarks, landmark_self, weights, bias, np.zeros(3))
         if turn == 0:
             margins = Margins(model)
             margins.learn({u for units_of, label in zip(own, y) if label for u in units_of})
