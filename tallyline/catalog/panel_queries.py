@@ -266,6 +266,23 @@ def group_moves(t: Tables):
     return out.select(F.col("o_orderpriority").alias("g"), *[r(c, 2).alias(c) for c in ("opened", "incoming", "net")])
 
 
+@query("group_moves_by_year", "2.1.45, 2.3.30, 2.3.42, 2.4.33", """
+WITH m AS (SELECT o_custkey c, year(o_orderdate) y, o_orderpriority p, count(*) n, sum(o_totalprice) v FROM orders GROUP BY 1, 2, 3),
+p AS (SELECT c, y, p, n, row_number() OVER (PARTITION BY c, y ORDER BY n DESC, p) rn, sum(v) OVER (PARTITION BY c, y) v FROM m),
+a AS (SELECT c, y, p, v FROM p WHERE rn = 1),
+j AS (SELECT a.y + 1 AS y, a.p AS old, b.p AS new, a.v FROM a LEFT JOIN a b ON b.c = a.c AND b.y = a.y + 1 WHERE a.y + 1 IN (SELECT y FROM a) AND a.p IS DISTINCT FROM b.p)
+SELECT coalesce(o.y, i.y) AS y, coalesce(o.g, i.g) AS g, round(coalesce(opened, 0), 2) AS opened, round(coalesce(incoming, 0), 2) AS incoming, round(coalesce(opened, 0) - coalesce(incoming, 0), 2) AS net
+FROM (SELECT y, old AS g, sum(v) opened FROM j GROUP BY 1, 2) o FULL JOIN (SELECT y, new AS g, sum(v) incoming FROM j WHERE new IS NOT NULL GROUP BY 1, 2) i ON o.g = i.g AND o.y = i.y
+""")
+def group_moves_by_year(t: Tables):
+    from tallyline.operators.sequences import primary_group
+    ev = t.order_events
+    home = primary_group(ev, Roles("cust", "o_orderpriority", "y")).join(ev.groupBy("cust", "y").agg(F.sum("price").alias("v")), ["cust", "y"])
+    last = home.withColumn("y", F.col("y") + 1).join(F.broadcast(ev.select("y").distinct()), "y", "left_semi")   # years
+    out = rosters.minutes_opened(last, home, entity="cust", group="o_orderpriority", minutes="v", period="y")
+    return out.select("y", F.col("o_orderpriority").alias("g"), *[r(c, 2).alias(c) for c in ("opened", "incoming", "net")])
+
+
 @query("self_excluded_departures", "2.3.30-33, 2.8.54-55", """
 WITH a AS (SELECT o_custkey c, year(o_orderdate) y, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) g, sum(o_totalprice) v FROM orders GROUP BY 1, 2),
 m AS (SELECT a.c, a.y + 1 AS y, a.g, a.v FROM a JOIN a b ON b.c = a.c AND b.y = a.y + 1 WHERE a.g <> b.g)

@@ -267,6 +267,21 @@ def rank_movers(t: Tables):
     return out.select("cust", "kind", "move")
 
 
+@query("rank_movers_by_year", "2.3.80, 2.3.82, 2.3.86", EVAL_SQL + """,
+r AS (SELECT c, y, row_number() OVER (PARTITION BY y ORDER BY round(fp, 2) DESC, c) rk FROM p),
+j AS (SELECT coalesce(a.y, b.y) y, coalesce(a.c, b.c) c, a.rk pa, b.rk pb FROM (SELECT c, y + 1 AS y, rk FROM r WHERE y + 1 IN (SELECT y FROM r)) a
+      FULL JOIN (SELECT * FROM r WHERE y - 1 IN (SELECT y FROM r)) b ON a.c = b.c AND a.y = b.y)
+SELECT y, c AS cust, CASE WHEN pa IS NULL THEN 'gained' WHEN pb IS NULL THEN 'lost' WHEN pa - pb >= 100 THEN 'riser' ELSE 'faller' END AS kind, CAST(pa - pb AS BIGINT) AS move FROM j WHERE pa IS NULL OR pb IS NULL OR abs(pa - pb) >= 100
+""")
+def rank_movers_by_year(t: Tables):
+    p = order_panel(t).withColumn("v", F.round("fp_sum", 2))
+    k = ranking.with_row_number(p, ["y"], [desc("v"), asc("cust")], "rk").select("cust", "y", F.col("rk").cast("long").alias("rk"))
+    years = t.order_events.select("y").distinct()
+    last = k.withColumn("y", F.col("y") + 1).join(F.broadcast(years), "y", "left_semi")
+    now = k.join(F.broadcast(years.select((F.col("y") + 1).alias("y"))), "y", "left_semi")
+    return diffs.rank_moves(last, now, entity="cust", rank="rk", min_move=100, period="y").select("y", "cust", "kind", "move")
+
+
 @query("wls_coefficients", "2.8.10, 2.8.26, 2.8.16", """
 WITH s AS (SELECT sum(l_quantity) w, sum(l_quantity * l_discount) wx, sum(l_quantity * l_extendedprice / 1000) wy, sum(l_quantity * l_discount * l_discount) wxx, sum(l_quantity * l_discount * l_extendedprice / 1000) wxy FROM lineitem)
 SELECT round((w * wxy - wx * wy) / (w * wxx - wx * wx), 4) AS slope, round((wy - wx * (w * wxy - wx * wy) / (w * wxx - wx * wx)) / w, 4) AS intercept FROM s

@@ -28,18 +28,20 @@ def changed_values(prev: DataFrame, cur: DataFrame, key: list[str], column: str)
     return j.where(~F.col(column + "_prev").eqNullSafe(F.col(column + "_cur"))).select(*key, column + "_prev", column + "_cur")
 
 
-def rank_moves(prev: DataFrame, cur: DataFrame, *, entity: str, rank: str, min_move: float, top: int | None = None) -> DataFrame:
-    """(entity, kind, move): risers and fallers past ``min_move``, and rankings gained or lost. A positive move is toward rank 1."""
-    j = compare(prev, cur, [entity], [rank])
+def rank_moves(prev: DataFrame, cur: DataFrame, *, entity: str, rank: str, min_move: float, top: int | None = None, period: str | None = None) -> DataFrame:
+    """(entity, kind, move): risers and fallers past ``min_move``, and rankings gained or lost. A positive move is toward rank 1. With
+    ``period``, for each value of it; ``prev`` then has the period that it is compared in."""
+    by = [period] if period else []
+    j = compare(prev, cur, [*by, entity], [rank])
     a, b = F.col(rank + "_prev"), F.col(rank + "_cur")
     move = a - b
     kind = (F.when(a.isNull() & b.isNotNull(), F.lit("gained")).when(a.isNotNull() & b.isNull(), F.lit("lost"))
             .when(move >= min_move, F.lit("riser")).when(move <= -min_move, F.lit("faller")))
-    out = j.select(entity, kind.alias("kind"), a.alias("prev"), b.alias("cur"), move.alias("move")).where(F.col("kind").isNotNull())
+    out = j.select(*by, entity, kind.alias("kind"), a.alias("prev"), b.alias("cur"), move.alias("move")).where(F.col("kind").isNotNull())
     if top is None:
         return out
     size = F.when(F.col("kind").isin("riser", "faller"), -F.abs("move")).otherwise(F.coalesce("cur", "prev"))
-    return top_k(out.withColumn("_size", size), ["kind"], [asc("_size"), asc(entity)], top, "place").drop("_size")
+    return top_k(out.withColumn("_size", size), [*by, "kind"], [asc("_size"), asc(entity)], top, "place").drop("_size")
 
 
 def list_changes(prev: DataFrame, cur: DataFrame, *, entity: str, rank: str, min_move: int = 5) -> DataFrame:

@@ -152,14 +152,16 @@ def leader_shift(opening: DataFrame, closing: DataFrame, style: DataFrame, colum
                       *[F.coalesce(F.when(usable, damp * (F.col("prior_" + c) - F.col("_prev_" + c))), F.lit(0.0)).alias("shift_" + c) for c in rel])
 
 
-def minutes_opened(last_minutes: DataFrame, current: DataFrame, *, entity: str = "player_id", group: str = "team_id", minutes: str = "minutes") -> DataFrame:
-    """(group, opened, incoming, net): last period's minutes of members who left, and of members who came from elsewhere."""
-    left = last_minutes.select(entity, F.col(group).alias("_from"), minutes)
-    now = current.select(entity, F.col(group).alias("_to"))
-    both = left.join(now, entity, "left").where(~F.col("_from").eqNullSafe(F.col("_to")))
-    out = both.groupBy(F.col("_from").alias(group)).agg(F.sum(minutes).alias("opened"))
-    inc = both.where(F.col("_to").isNotNull()).groupBy(F.col("_to").alias(group)).agg(F.sum(minutes).alias("incoming"))
-    full = out.join(inc, group, "full").na.fill({"opened": 0.0, "incoming": 0.0})
+def minutes_opened(last_minutes: DataFrame, current: DataFrame, *, entity: str = "player_id", group: str = "team_id", minutes: str = "minutes", period: str | None = None) -> DataFrame:
+    """(group, opened, incoming, net): last period's minutes of members who left, and of members who came from elsewhere. With ``period``,
+    for each value of it; ``last_minutes`` then has the period that it is the last one before."""
+    by = [period] if period else []
+    left = last_minutes.select(entity, *by, F.col(group).alias("_from"), minutes)
+    now = current.select(entity, *by, F.col(group).alias("_to"))
+    both = left.join(now, [entity, *by], "left").where(~F.col("_from").eqNullSafe(F.col("_to")))
+    out = both.groupBy(*by, F.col("_from").alias(group)).agg(F.sum(minutes).alias("opened"))
+    inc = both.where(F.col("_to").isNotNull()).groupBy(*by, F.col("_to").alias(group)).agg(F.sum(minutes).alias("incoming"))
+    full = out.join(inc, [*by, group], "full").na.fill({"opened": 0.0, "incoming": 0.0})
     return full.withColumn("net", F.col("opened") - F.col("incoming"))
 
 
