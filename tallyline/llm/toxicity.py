@@ -37,6 +37,7 @@ LANDMARKS = 48
 NEW = 0.5                        # part of a typical string that the landmarks before it don't span, for it to be one
 ENOUGH = 6                       # tenths of a typical string that a unit has in order
 UNLIKELY = 0.01                  # units that pass for typical of toxic documents by chance, in expectation
+GUESSES = 32                     # seeds of a sample in which no unit is beyond chance
 TRAINING = 1500
 FOLDS = 5
 CACHED = 500_000
@@ -316,9 +317,10 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Model
         (in_toxic if y[i] else in_clean).update(own[i])
     toxic, clean = sum(labels[i] for i in counted), sum(1 - labels[i] for i in counted)
     typical = {u: np.log((k + 0.1) / toxic) - np.log((in_clean[u] + 0.5) / clean) for u, k in in_toxic.items()}
-    everyone = typical_units([own[i] for i in counted if y[i]], in_clean, clean) or sorted((u for u in typical if typical[u] > 0), key=lambda u: (-in_toxic[u] * typical[u], u))[:400]
+    known = typical_units([own[i] for i in counted if y[i]], in_clean, clean)
+    everyone = known or sorted((u for u in typical if typical[u] > 0), key=lambda u: (-in_toxic[u] * typical[u], u))[:400]
     everyone.sort(key=lambda u: (-in_toxic[u] * typical[u], u))
-    seeds = [everyone[i] for i in spanning([u[:LONGEST] for u in everyone])]
+    seeds = [everyone[i] for i in spanning([u[:LONGEST] for u in everyone])][: None if known else GUESSES]
     set_of = set(everyone)
     rng = np.random.default_rng(2)
     common = sorted((u for u in in_clean if u not in set_of), key=lambda u: (-in_clean[u], u))
@@ -350,7 +352,7 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Model
         phi = similarity(units, landmarks, landmark_self).astype(np.float64) @ root
         w, bias = train_svm(phi, target, np.maximum(cost, 0.5))
         weights = root @ w
-        model = Model(Screen(positive), landmarks, landmark_self, weights, bias, np.zeros(3))
+        model = Model(Screen(positive if known else [u[:LONGEST] for u in seeds]), landmarks, landmark_self, weights, bias, np.zeros(3))
         if turn == 0:
             margins = Margins(model)
             margins.learn({u for units_of, label in zip(own, y) if label for u in units_of})
