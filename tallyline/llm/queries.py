@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import byte_bpe, exact_dedup, fixity, id_files, main_text, minhash, mixing, ngram_join, token_lengths, toxicity
+from tallyline.llm import byte_bpe, exact_dedup, fixity, id_files, main_text, minhash, mixing, ngram_join, token_lengths, topk_search, toxicity
 from tallyline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,11 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """)
 
 _register("op10_ngram_join", "documents", ngram_join.joined)
+
+_register("op11_topk_search", "embeddings", topk_search.every_twentieth, r"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.place, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.place <> c.place WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""")
