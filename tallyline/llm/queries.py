@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import byte_bpe, exact_dedup, fixity, id_files, main_text, minhash, mixing, ngram_join, token_lengths, topk_search, toxicity
+from tallyline.llm import byte_bpe, exact_dedup, fixity, id_files, main_text, minhash, mixing, ngram_join, prefix_trie, token_lengths, topk_search, toxicity
 from tallyline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,18 @@ s AS (SELECT q.place, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)
 r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """)
+
+_register("op13_prefix_trie", "conversations", prefix_trie.rebuilt_trie, r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, left(sha256(length(role)::VARCHAR || ':' || role || text), 32)) AS own FROM t GROUP BY conv_id),
+b AS (SELECT conv_id, own, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS bits FROM u),
+h AS (SELECT conv_id, own, xor(list_reduce(bits, lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1)), 4294967295::BIGINT), 4294967295) % 6 AS h FROM b),
+r AS (SELECT h.conv_id, list_concat(coalesce(f.own[1:h.h], []), h.own[h.h + 1:]) AS seq FROM h LEFT JOIN h f ON f.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, depth, seq[1:depth] AS prefix, len(seq) = depth AS ended FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM r)),
+g AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM p GROUP BY prefix, depth),
+k AS (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+c AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN g.depth = 0 THEN 0 ELSE (n_convs - 1) * length(g.prefix[g.depth].text) END AS own FROM g LEFT JOIN k ON g.prefix = k.prefix AND g.depth = k.depth),
+s AS (SELECT a.prefix, a.depth, count(*) FILTER (x.n_children = 0) AS n_leaves, sum(x.own)::BIGINT AS saved_tokens FROM c a JOIN c x ON x.depth >= a.depth AND x.prefix[1:a.depth] = a.prefix GROUP BY a.prefix, a.depth)
+SELECT c.conv_id, c.depth, up.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, c.ends_sha256
+FROM c JOIN s ON c.prefix = s.prefix AND c.depth = s.depth LEFT JOIN g up ON c.depth > 0 AND up.depth = c.depth - 1 AND up.prefix = c.prefix[1:c.depth - 1]
+""")
