@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import byte_bpe, exact_dedup, fixity, id_files, main_text, minhash, mixing, ngram_join, prefix_trie, token_lengths, topk_search, toxicity
+from tallyline.llm import byte_bpe, collocations, exact_dedup, fixity, id_files, main_text, minhash, mixing, ngram_join, prefix_trie, token_lengths, topk_search, toxicity
 from tallyline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,23 @@ r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY place ORDE
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """)
 
+_register("op12_collocations", "documents", collocations.collocations, r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS size)),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND a >= 10),
+d AS (SELECT lang, size, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS cut FROM c)),
+k AS (SELECT d.*, h.a AS l, t.a AS r, ((1000000::HUGEINT * d.a * d.a) // (h.a::HUGEINT * t.a))::BIGINT AS score
+      FROM d JOIN f h ON h.lang = d.lang AND h.phrase = d.head JOIN f t ON t.lang = d.lang AND t.phrase = d.tail),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+x AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, n.n, score
+FROM b JOIN n ON b.lang = n.lang LEFT JOIN x ON b.size = 2 AND x.lang = b.lang AND x.phrase = b.phrase
+WHERE x.longer IS NULL OR 100 * x.longer < 50 * b.a QUALIFY rank <= 2000
+""")
+
 _register("op13_prefix_trie", "conversations", prefix_trie.rebuilt_trie, r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 u AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, left(sha256(length(role)::VARCHAR || ':' || role || text), 32)) AS own FROM t GROUP BY conv_id),
