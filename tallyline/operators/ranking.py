@@ -186,6 +186,20 @@ def with_running_sum(df: DataFrame, group: list[str], order: list[By], value: Co
     return out.withColumn(name, F.col(name) + F.col("_before")).drop("_before", *[s for s in slices if s.startswith(SLICE)])
 
 
+def with_running_max(df: DataFrame, group: list[str], order: list[By], value: Column, name: str, *,
+                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Greatest ``value`` up to and including each row; nulls are passed over."""
+    sliced, slices = slice_groups(df, group, order, rows_per_task)
+    w = Window.partitionBy(*group, *slices).orderBy(*[k.sort() for k in order]).rowsBetween(Window.unboundedPreceding, 0)
+    out = sliced.withColumn(name, F.max(value).over(w))
+    if not slices:
+        return out
+    earlier = Window.partitionBy(*group).orderBy(*[_slice_sort(s, order) for s in slices]).rowsBetween(Window.unboundedPreceding, -1)
+    tops = sliced.groupBy(*group, *slices).agg(F.max(value).alias("_top"))                       # one row per slice
+    out = _join_slices(out, tops.select(*group, *slices, F.max("_top").over(earlier).alias("_before")), group + slices)
+    return out.withColumn(name, F.greatest(F.col(name), F.col("_before"))).drop("_before", *[s for s in slices if s.startswith(SLICE)])
+
+
 def top_k(df: DataFrame, group: list[str], order: list[By], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows of each group. Spark limits each map task to k rows per group before the shuffle, so a hot group is safe."""
     if k < 1:
