@@ -1,16 +1,17 @@
 """Phrase collocations by Toivonen mining: a sample proposes, one pass counts, border failures are expanded until the border holds.
 
-Phrases are runs of one to ``longest`` words inside a piece of a text. In the sample, phrases seen often enough for a lowered limit
+Phrases are runs of one to three words inside a piece of a text. In the sample, phrases seen often enough for a lowered limit
 are proposed; with them goes their negative border, the phrases that aren't proposed while all their shorter parts are. One pass over
-the corpus counts both exactly: a phrase is counted if its first part (without the last word) and its last part (without the first)
+the corpus counts both: a phrase is counted if its first part (without the last word) and its last part (without the first)
 are proposed, so words are always counted. A frequent phrase that wasn't proposed is a border failure: phrases over it were not counted. Failures are
 added to the proposals, and a further pass counts just what they newly let in, until no failure is left; each pass settles one more
 length at least, so there are at most as many passes as lengths.
 
-What a task asks of the proposals is a table of ``FILTER_BITS`` bits, the same at every size of the corpus. A phrase that it takes for a proposed
-one counts as proposed, in this pass and in the next one's search for failures: more phrases are counted than need be, none is missed.
-Counts are combined in each task over windows of ``WINDOW_WORDS`` words, then on Spark's map side, then by key. Words are told apart by 64-bit
-hashes of language and word, phrases by their words' hashes; frequent words keep their text.
+The mining passes count by one 64-bit hash of a phrase, so that a counted phrase costs 8 bytes and its count. Two phrases of one hash are counted
+together, which can only raise a count: no frequent phrase is missed. A last pass counts what is frequent by hash once more, by the words themselves, and drops what
+isn't. What a task asks of the proposals, and of the frequent phrases, is a table of ``FILTER_BITS`` bits, the same at every size of the corpus; a phrase that it takes for
+one of them is counted too, in one pass exactly, and judged by its count. Counts are combined in each task over windows of ``WINDOW_WORDS`` words, then on Spark's map
+side, then by key. Words are told apart by 64-bit hashes of language and word; frequent words keep their text, and are counted by it.
 
 Cases: a null text is empty; a null language is ``und``; a language may hold any string; rows that repeat are counted as rows; one very long text is
 worked through in pieces like many short ones; an empty table, or one without frequent phrases, gives an empty result; other columns are ignored.
@@ -28,17 +29,20 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyline.llm.common import BROADCAST_ROWS, materialise
+from tallyline.llm.common import materialise
 from tallyline.llm.words import BASE, STEP, U64, mix, text_buffers
 
-MIN_COUNT, LONGEST, TOP, SHARE = 10, 3, 2000, 50
+MIN_COUNT, TOP, SHARE = 10, 2000, 50
 NO_LANGUAGE = "und"
 #: One of so many documents is in the sample; a phrase is proposed if it stands there so often.
 SAMPLE, PROPOSED = 4, 2
 FILTER_BITS = 26
-WINDOW_WORDS, CHUNK_BYTES = 1 << 20, 1 << 20
+WINDOW_WORDS, CHUNK_BYTES = 1 << 19, 1 << 19
+#: Rows of a side that is broadcast to a join of phrases: below 10 MB as a hash table.
+SMALL_ROWS = 1 << 16
 
 GAPS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
+HASHED = "key bigint, size int, n bigint"
 COUNTS = "lang string, word string, size int, w1 bigint, w2 bigint, w3 bigint, n bigint"
 KEYS = ["lang", "word", "size", "w1", "w2", "w3"]
 
@@ -129,162 +133,165 @@ class Proposed:
 
 
 def _filter_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, bits): the filter's set bits of a task's phrases, 64 a cell."""
+    """(cell, bits): the filter's set bits of a task's keys, 64 a cell."""
     for batch in batches:
-        w1, w2 = (batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (1, 2))
-        pair = batch.column(0).to_numpy(zero_copy_only=False) == 2
-        places = np.concatenate(Proposed.places(np.where(pair, pair_hash(w1, w2), w1)))
+        places = np.concatenate(Proposed.places(batch.column(0).to_numpy(zero_copy_only=False).view(U64)))
         cells, at = np.unique(places >> 6, return_inverse=True)
         bits = np.zeros(len(cells), U64)
         np.bitwise_or.at(bits, at, U64(1) << (places & 63).astype(U64))
         yield pa.record_batch([pa.array(cells, pa.int64()), pa.array(bits.view(np.int64))], ["cell", "bits"])
 
 
-def filter_of(phrases: DataFrame, old: np.ndarray | None = None) -> np.ndarray:
-    """Bits of the words and pairs in ``phrases``, added to ``old``. The driver gets the set cells of a table of ``FILTER_BITS`` bits, 16 MB at most."""
-    found = phrases.filter("size < 3").select("size", "w1", F.coalesce("w2", F.lit(0).cast("bigint")).alias("w2"))
-    cells = found.mapInArrow(_filter_cells, "cell bigint, bits bigint").groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+def filter_of(keys: DataFrame, old: np.ndarray | None = None) -> np.ndarray:
+    """The table of the phrases with ``keys``, added to ``old``. The driver gets its set cells: 16 MB at most."""
+    cells = keys.select("key").mapInArrow(_filter_cells, "cell bigint, bits bigint").groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), U64) if old is None else old.view(U64).copy()
     out[cells["cell"].to_numpy()] |= cells["bits"].to_numpy().view(U64)
     return out.view(np.uint8)
 
 
-class Counter:
-    """Counts of a task's phrases, one language at a time, over windows of words."""
-
-    def __init__(self, lang: str, sizes: tuple[int, ...]):
-        self.lang = lang
-        self.held: dict[int, list] = {size: [] for size in sizes}
-        self.texts: dict[int, bytes] = {}
-
-    def add(self, size: int, parts: list[np.ndarray]) -> None:
-        self.held[size].append(parts)
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        for size, held in self.held.items():
-            if not held:
-                continue
-            parts = [np.concatenate([h[i] for h in held]) for i in range(size)]
-            key = parts[0]
-            for p in parts[1:]:
-                key = pair_hash(key, p)
-            order = np.argsort(key, kind="stable")
-            parts = [p[order] for p in parts]
-            new = np.zeros(len(order), bool)
-            new[:1] = True
-            for p in parts:
-                new[1:] |= p[1:] != p[:-1]
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(order)))
-            columns = [p[at] for p in parts]
-            for i in range(0, len(at), 32768):
-                some = slice(i, i + 32768)
-                rows = len(n[some])
-                texts = [self.texts[int(h)].decode("utf-8", "replace") for h in columns[0][some]] if size == 1 else None
-                yield pa.record_batch([
-                    pa.array([self.lang] * rows, pa.string()), pa.array(texts, pa.string()) if texts else pa.nulls(rows, pa.string()), pa.array(np.full(rows, size, np.int32)),
-                    *[pa.array(columns[k][some].view(np.int64)) if k < size else pa.nulls(rows, pa.int64()) for k in range(3)], pa.array(n[some].astype(np.int64))], [c.split(" ")[0] for c in COUNTS.split(", ")])
-            held.clear()
-        self.texts = {}
+class Spans:
+    """A chunk's words of one language: hashes, bytes, and where two or three of them are in one piece."""
 
+    def __init__(self, lang: str, raw: np.ndarray, w: np.ndarray, starts: np.ndarray, ends: np.ndarray, follows: np.ndarray):
+        self.lang, self.raw, self.w, self.starts, self.ends = lang, raw, w, starts, ends
+        self.two = np.flatnonzero(follows)
+        self.three = self.two[follows[self.two + 1]] if len(self.two) else self.two
+        self.pairs = np.zeros(len(w), U64)
+        self.pairs[self.two] = pair_hash(w[self.two], w[self.two + 1])
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    def triples(self, at: np.ndarray) -> np.ndarray:
+        return pair_hash(self.pairs[at], self.w[at + 2])
 
 
-def _count(batches: Iterator[pa.RecordBatch], now: Broadcast | None, before: Broadcast | None, sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of ``sizes`` that ``now`` lets in and ``before`` didn't; without ``now``, of all."""
-    allowed = Proposed(np.frombuffer(now.value, np.uint8)) if now else None
-    done = Proposed(np.frombuffer(before.value, np.uint8)) if before else None
-    counters: dict[str, Counter] = {}
-    held = 0
-
-    def in_both(known: Proposed, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = known.has(a)
-        some = np.flatnonzero(out)
-        out[some] = known.has(b[some])
-        return out
-
-    def take(size: int, parts: list[np.ndarray], heads: tuple[np.ndarray, np.ndarray]) -> None:
-        if allowed is not None:
-            keep = in_both(allowed, *heads)
-            if done is not None:
-                at = np.flatnonzero(keep)
-                keep[at] = ~in_both(done, heads[0][at], heads[1][at])
-            parts = [p[keep] for p in parts]
-        if len(parts[0]):
-            counter.add(size, parts)
-
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[Spans]:
+    """The words of all texts, chunk by chunk, one language at a time."""
     for batch in batches:
         langs = batch.column(1).fill_null(NO_LANGUAGE)
         for lang in langs.unique().to_pylist():
             data, at = text_buffers(batch.column(0).filter(pc.equal(langs, lang)))
             data, at = data[int(at[0]): int(at[-1])], at - at[0]
-            counter = counters.get(lang)
-            if counter is None:
-                counter = counters[lang] = Counter(lang, sizes)
             seed = int.from_bytes(sha256(lang.encode()).digest()[:8], "little")
             cuts = at[1:-1]
             cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
             for lo, hi in pieces_of(data, cuts):
-                part = data[lo:hi]
                 inner = cuts[np.searchsorted(cuts, lo, "right"): np.searchsorted(cuts, hi)] - lo
-                w, starts, ends, follows = words_of(part, inner, seed)
-                if not len(w):
-                    continue
-                if 1 in sizes:
-                    distinct, first = np.unique(w, return_index=True)
-                    raw = part.tobytes()
-                    for h, a, b in zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist()):
-                        if h not in counter.texts:
-                            counter.texts[h] = raw[a:b].translate(_LOWER)
-                    counter.add(1, [w])
-                i = np.flatnonzero(follows)
-                if 2 in sizes:
-                    take(2, [w[i], w[i + 1]], (w[i], w[i + 1]))
-                if 3 in sizes and len(i):
-                    i = i[follows[np.minimum(i + 1, len(w) - 1)]]
-                    a, b, c = w[i], w[i + 1], w[i + 2]
-                    take(3, [a, b, c], (pair_hash(a, b), pair_hash(b, c)))
-                held += len(w)
-                if held >= WINDOW_WORDS:                # of all languages together
-                    for c in counters.values():
-                        yield from c.batches()
-                    held = 0
-                    counters = {lang: counter}
-    for c in counters.values():
-        yield from c.batches()
-
-
-def counted(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None, sizes: tuple[int, ...]) -> DataFrame:
-    """lang, word, size, w1, w2, w3, n of every counted phrase."""
-    context = docs.sparkSession.sparkContext
-    told = [context.broadcast(bits.tobytes()) if bits is not None else None for bits in (now, before)]
-    rows = docs.select(F.col("text"), F.col("lang").cast("string")).mapInArrow(lambda batches: _count(batches, *told, sizes), COUNTS)
-    return rows.groupBy(*KEYS).agg(F.sum("n").alias("n"))
+                w, starts, ends, follows = words_of(data[lo:hi], inner, seed)
+                if len(w):
+                    yield Spans(lang, data[lo:hi], w, starts, ends, follows)
 
 
-def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, proposed: int = PROPOSED) -> tuple[DataFrame, DataFrame]:
-    """(lang, n of all words), and the phrases of 1 to 3 words with at least ``min_count`` occurrences: lang, word, size, w1, w2, w3, n."""
-    some = docs.filter(F.pmod(F.xxhash64("text", "lang", "doc_id"), F.lit(sample)) == 0) if "doc_id" in docs.columns else docs.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(sample)) == 0)
-    bits, before = filter_of(counted(some, None, None, (1, 2)).filter(F.col("n") >= proposed)), None
-    kept, totals, sizes = None, None, (1, 2, 3)
-    while True:
-        found = counted(docs, bits, before, sizes)
-        if totals is None:
-            # the only pass that counts words: rare ones are summed by language and kept as one row
-            marked = found.withColumn("keep", F.col("n") >= min_count).filter("keep OR size = 1")
-            rare = marked.groupBy("lang", *[F.when(F.col("keep"), F.col(c)).alias(c) for c in KEYS[1:]], "keep").agg(F.sum("n").alias("n"))
-            found = materialise(rare, "phrases")
-            totals = materialise(found.filter("size = 1 OR NOT keep").groupBy("lang").agg(F.sum("n").alias("all_words")), "phrase-totals")
-            found = found.filter("keep").drop("keep")
-        else:
-            found = materialise(found.filter(F.col("n") >= min_count), "phrases")
-        kept = found if kept is None else kept.unionByName(found)
-        failed = _failures(found, bits)
-        if not failed.count():
-            return totals, kept
-        sizes = (2, 3) if sizes[0] == 1 else (3,)
-        before, bits = bits, filter_of(failed, bits)
+def _hashed(batches: Iterator[pa.RecordBatch], now: Broadcast | None, before: Broadcast | None, sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(key, size, n) of the phrases of ``sizes`` that ``now`` lets in and ``before`` didn't; without ``now``, of all."""
+    allowed = Proposed(np.frombuffer(now.value, np.uint8)) if now else None
+    done = Proposed(np.frombuffer(before.value, np.uint8)) if before else None
+    held: dict[int, list[np.ndarray]] = {size: [] for size in sizes}
+    words = 0
+
+    def let_in(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Of the places ``at``, those whose two parts, in ``hashes`` there and one place later, make them new phrases."""
+        if allowed is None:
+            return at
+        at = at[allowed.has(hashes[at])]
+        at = at[allowed.has(hashes[at + 1])]
+        return at if done is None else at[~(done.has(hashes[at]) & done.has(hashes[at + 1]))]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for size, parts in held.items():
+            if parts:
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                parts.clear()
+                for i in range(0, len(keys), 65536):
+                    some = slice(i, i + 65536)
+                    yield pa.record_batch([pa.array(keys[some].view(np.int64)), pa.array(np.full(len(keys[some]), size, np.int32)), pa.array(n[some].astype(np.int64))], ["key", "size", "n"])
+
+    for s in _spans(batches):
+        if 1 in sizes:
+            held[1].append(s.w)
+        if 2 in sizes:
+            held[2].append(s.pairs[let_in(s.two, s.w)])
+        if 3 in sizes:
+            held[3].append(s.triples(let_in(s.three, s.pairs)))
+        words += len(s.w)
+        if words >= WINDOW_WORDS:
+            yield from flush()
+            words = 0
+    yield from flush()
+
+
+def _exact(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+    """lang, word, size, w1, w2, w3, n of the phrases that ``wanted`` has, and of all other words of a language together, as size 0."""
+    known = Proposed(np.frombuffer(wanted.value, np.uint8))
+    held: dict[str, list[Spans]] = {}
+    words = 0
+
+    def rows(lang: str, size: int, parts: list[np.ndarray], n: np.ndarray, texts: list[str] | None) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(n), 32768):
+            some = slice(i, i + 32768)
+            m = len(n[some])
+            yield pa.record_batch([
+                pa.array([lang] * m, pa.string()), pa.array(texts[some], pa.string()) if texts else pa.nulls(m, pa.string()), pa.array(np.full(m, size, np.int32)),
+                *[pa.array(parts[k][some].view(np.int64)) if k < len(parts) else pa.nulls(m, pa.int64()) for k in range(3)], pa.array(n[some].astype(np.int64))], [c.split(" ")[0] for c in COUNTS.split(", ")])
+
+    def grouped(parts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Distinct tuples, how often each stands, and the place of one of them."""
+        key = parts[0]
+        for p in parts[1:]:
+            key = pair_hash(key, p)
+        order = np.argsort(key, kind="stable")
+        parts = [p[order] for p in parts]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for p in parts:
+            new[1:] |= p[1:] != p[:-1]
+        at = np.flatnonzero(new)
+        return [p[at] for p in parts], np.diff(np.append(at, len(order))), order[at]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, chunks in held.items():
+            singles, where, rest = [], [], 0
+            for c, s in enumerate(chunks):
+                i = np.flatnonzero(known.has(s.w))
+                singles.append(s.w[i])
+                where.append(np.stack([np.full(len(i), c), s.starts[i], s.ends[i]]))
+                rest += len(s.w) - len(i)
+            if rest:
+                yield from rows(lang, 0, [], np.array([rest]), None)
+            (w,), n, place = grouped([np.concatenate(singles)])
+            of = np.concatenate(where, axis=1)[:, place].T.tolist()
+            raws = [s.raw.tobytes() for s in chunks]
+            yield from rows(lang, 1, [w], n, [raws[c][a:b].translate(_LOWER).decode("utf-8", "replace") for c, a, b in of])
+            for size in (2, 3):
+                found = []
+                for s in chunks:
+                    at = s.two if size == 2 else s.three
+                    at = at[known.has(s.pairs[at] if size == 2 else s.triples(at))]
+                    found.append([s.w[at + k] for k in range(size)])
+                parts, n, _ = grouped([np.concatenate([f[k] for f in found]) for k in range(size)])
+                yield from rows(lang, size, parts, n, None)
+        held.clear()
+
+    for s in _spans(batches):
+        held.setdefault(s.lang, []).append(s)
+        words += len(s.w)
+        if words >= WINDOW_WORDS:
+            yield from flush()
+            words = 0
+    yield from flush()
+
+
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text"), F.col("lang").cast("string").alias("lang"))
+
+
+def hashed_counts(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None, sizes: tuple[int, ...]) -> DataFrame:
+    """key, size, n of every counted phrase."""
+    context = docs.sparkSession.sparkContext
+    told = [context.broadcast(bits.tobytes()) if bits is not None else None for bits in (now, before)]
+    return _texts(docs).mapInArrow(lambda batches: _hashed(batches, *told, sizes), HASHED).groupBy("key", "size").agg(F.sum("n").alias("n"))
 
 
 def _failures(found: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -294,17 +301,43 @@ def _failures(found: DataFrame, bits: np.ndarray) -> DataFrame:
     def failures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Proposed(np.frombuffer(told.value, np.uint8))
         for batch in batches:
-            w1, w2 = (batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (1, 2))
-            pair = batch.column(0).to_numpy(zero_copy_only=False) == 2
-            yield batch.filter(pa.array(~known.has(np.where(pair, pair_hash(w1, w2), w1))))
+            yield batch.filter(pa.array(~known.has(batch.column(0).to_numpy(zero_copy_only=False).view(U64))))
+
+    return materialise(found.filter("size < 3").select("key").mapInArrow(failures, "key bigint"), "phrase-failures")
+
+
+def mined_keys(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, proposed: int = PROPOSED) -> DataFrame:
+    """The hashes of all phrases with at least ``min_count`` occurrences (and perhaps a few others): the sample, the full pass, and expansions."""
+    drawn = F.xxhash64("text", "lang", *(["doc_id"] if "doc_id" in docs.columns else []))
+    some = docs.filter(F.pmod(drawn, F.lit(sample)) == 0)
+    bits, before, sizes = filter_of(hashed_counts(some, None, None, (1, 2)).filter(F.col("n") >= proposed)), None, (1, 2, 3)
+    kept = None
+    while True:
+        found = materialise(hashed_counts(docs, bits, before, sizes).filter(F.col("n") >= min_count), "phrases")
+        kept = found if kept is None else kept.unionByName(found)
+        failed = _failures(found, bits)
+        if not failed.count():
+            return kept
+        sizes = (2, 3) if sizes[0] == 1 else (3,)
+        before, bits = bits, filter_of(failed, bits)
+
 
-    short = found.filter("size < 3").select("size", "w1", F.coalesce("w2", F.lit(0).cast("bigint")).alias("w2"))
-    return materialise(short.mapInArrow(failures, "size int, w1 bigint, w2 bigint"), "phrase-failures")
+def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, proposed: int = PROPOSED) -> tuple[DataFrame, DataFrame]:
+    """(lang, n of all words), and the phrases of 1 to 3 words with at least ``min_count`` occurrences: lang, word, size, w1, w2, w3, n."""
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_of(mined_keys(docs, min_count, sample, proposed)).tobytes())
+    rows = _texts(docs).mapInArrow(lambda batches: _exact(batches, wanted), COUNTS)
+    exact = rows.groupBy(*KEYS).agg(F.sum("n").alias("n"))
+    # words that are rare after all join their language's others
+    rare = (F.col("size") < 2) & (F.col("n") < min_count)
+    marked = exact.filter((F.col("size") < 2) | (F.col("n") >= min_count)).select("lang", *[F.when(~rare, F.col(c)).alias(c) for c in KEYS[1:]], "n")
+    found = materialise(marked.groupBy(*KEYS).agg(F.sum("n").alias("n")), "phrases")
+    totals = materialise(found.filter("size IS NULL OR size < 2").groupBy("lang").agg(F.sum("n").alias("all_words")), "phrase-totals")
+    return totals, found.filter("size > 0")
 
 
 def _joined(df: DataFrame, small: DataFrame, on: list[str], rows: int) -> DataFrame:
-    """A join with a counted side: broadcast up to ``BROADCAST_ROWS`` rows; above, shuffled, and hot words are split by adaptive execution."""
-    return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on)
+    """A join with a counted side: broadcast up to ``SMALL_ROWS`` rows; above, shuffled, and hot words are split by adaptive execution."""
+    return df.join(F.broadcast(small) if rows <= SMALL_ROWS else small, on)
 
 
 def scored(phrases: DataFrame, share: int = SHARE) -> DataFrame:
@@ -346,7 +379,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, sh
     n_words = words.count()
     for k in (1, 2, 3):
         side = words.select("lang", F.col("w1").alias(f"w{k}"), F.col("word").alias(f"t{k}"))
-        near = near.join(F.broadcast(side) if n_words <= BROADCAST_ROWS else side, ["lang", f"w{k}"], "left")
+        near = near.join(F.broadcast(side) if n_words <= SMALL_ROWS else side, ["lang", f"w{k}"], "left")
     named = near.withColumn("phrase", F.concat_ws(" ", "t1", "t2", "t3"))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = named.select("lang", "phrase", "a", "l", "r", "score").withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top)
