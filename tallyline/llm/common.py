@@ -22,7 +22,18 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that ``materialise`` wrote and nothing reads any more: whatever was made of them is written itself."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:

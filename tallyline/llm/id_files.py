@@ -31,6 +31,8 @@ from tallyline.llm.pieces import Pieces
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 IMAGE_IDS = 1 << 20
+#: Distinct pieces kept by one worker, about 200 bytes each: the library takes most of the time for a piece that is new.
+CACHED = 1_500_000
 MAGIC = b"IDEF0001"
 HEAD = struct.Struct("<8sQQBB")
 IMAGES = "part bigint, image bigint, first_id bigint, n_ids bigint, doc_ids array<bigint>, data binary"
@@ -87,8 +89,13 @@ def image_of(ids: bytes, counts: list[int], width: int) -> bytes:
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> tuple[Pieces, int]:
     tokenizer = Tokenizer.from_file(path)
-    pieces = Pieces(public_tokenizers.PATTERN, lambda m: np.array(tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes(), b"".join)
-    pieces.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def bytes_of(text: str) -> bytes:
+        ids = tokenizer.encode(text, None, False, False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    pieces = Pieces(public_tokenizers.PATTERN, bytes_of, b"".join)
+    pieces.cached, pieces.whole = CACHED, bytes_of
     pieces.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return pieces, 2 if tokenizer.get_vocab_size(True) <= 1 << 16 else 4
 

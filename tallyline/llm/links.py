@@ -1,9 +1,10 @@
 """Connected components of verified links, without listing all pairs of a group.
 
-Members of an inverted list (nodes that have its key) are candidates for each other. A round picks a few members of each list as pivots, tests
-every other member against them, and joins what is linked; lists whose members are all of one component are done. What is left after
-the rounds, members of different components in one list, is tested pair by pair, with the members of a list's largest component on one
-side only. No link between different components is lost, and a list of g copies costs about g tests, not g * g.
+Members of an inverted list (nodes that have its key) are candidates for each other. Each list is judged by its own size: the members of a short one
+are tested pair by pair, those of different components only. Of a longer one, a round picks a few members as pivots, tests every other member against them,
+and joins what is linked; lists whose members are all of one component are done. Members that the rounds leave in different components are tested pair by
+pair in the end, with the members of a list's largest component on one side only. No link between different components is lost, and a list of g copies
+costs about g tests, not g * g.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyline.llm.common import materialise
+from tallyline.llm.common import discard, materialise
 
 PIVOTS = 3
 ROUNDS = 8
-#: Pairs left, for each row of the lists, at which the rest is tested pair by pair.
-EASY = 400
+#: Members of a list that is tested pair by pair: before any component is known, and later.
+EASY_FIRST, EASY = 24, 400
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,8 +34,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
-        edges = materialise(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
+        old, edges = edges, materialise(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
         new = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        discard(old)
         if new == state:
             break
         state = new
@@ -78,30 +80,34 @@ def _side(name: str, of: str = "") -> list[Column]:
 def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """node, component over ``lists`` (node, n, marks, keys), a written table; ``verified`` gives the links (a, b) among candidates (a, b).
     None if there is no list."""
-    found, labels = None, None
+    found, labels, source, before = None, None, lists, None
     for turn in range(ROUNDS + 1):
         rest = materialise(_cross(lists, labels), "lists-left")
-        rows, left = rest.agg(F.count(F.lit(1)), F.sum(F.when(F.col("component") != F.col("giant"), F.col("size")).otherwise(F.lit(0)))).first()
+        discard(before, source)
+        before, source = rest, None
+        limit = EASY_FIRST if turn == 0 else EASY if turn < ROUNDS else (1 << 62)
+        rows, harder = rest.agg(F.count(F.lit(1)), F.count_if(F.col("size") > limit)).first()
         if not rows:
-            return labels
-        member = rest.select("key", "node", "n", *MARKS, "component", "giant")
-        finish = left <= EASY * rows or turn == ROUNDS
-        if finish:
-            a = member.filter("component <> giant").select("key", F.col("node").alias("a"), *_side("a"), F.col("component").alias("of_a"))
-            b = member.select("key", F.col("node").alias("b"), *_side("b"), F.col("component").alias("of_b"), F.col("giant").alias("g"))
-            met = a.join(b, (a.key == b.key) & (F.col("of_a") != F.col("of_b")) & near("a", "b") & ((F.col("of_b") == F.col("g")) | (F.col("a") < F.col("b"))))
-        else:
+            break
+        wide = rest.select("key", "node", "n", *MARKS, "component", "giant", (F.col("size") <= limit).alias("short"))
+        member, easy = wide.filter("NOT short"), wide.filter("short")
+        a = easy.filter("component <> giant").select("key", F.col("node").alias("a"), *_side("a"), F.col("component").alias("of_a"))
+        b = easy.select("key", F.col("node").alias("b"), *_side("b"), F.col("component").alias("of_b"), F.col("giant").alias("g"))
+        met = a.join(b, (a.key == b.key) & (F.col("of_a") != F.col("of_b")) & near("a", "b") & ((F.col("of_b") == F.col("g")) | (F.col("a") < F.col("b")))).select("a", "b")
+        if harder:
             free = member if turn == 0 else member.filter("component <> giant")
             picks = free.groupBy("key").agg(*[F.min_by(F.struct("node", "n", *MARKS, "component"), F.xxhash64("node", F.lit(PIVOTS * turn + i))).alias(f"p{i}") for i in range(PIVOTS)])
             pivot = picks.select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p")).select(
                 "key", F.col("p.node").alias("a"), *_side("a", "p."), F.col("p.component").alias("of_a"))
-            b = member.select("key", F.col("node").alias("b"), *_side("b"), F.col("component").alias("of_b"))
-            met = b.join(pivot, (b.key == pivot.key) & (F.col("of_a") != F.col("of_b")) & near("a", "b"))
+            c = member.select("key", F.col("node").alias("b"), *_side("b"), F.col("component").alias("of_b"))
+            met = met.unionByName(c.join(pivot, (c.key == pivot.key) & (F.col("of_a") != F.col("of_b")) & near("a", "b")).select("a", "b"))
         pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         links = verified(pairs)
+        discard(pairs)
         found = links if found is None else found.unionByName(links)
         labels = components(found)
-        if finish:
-            return labels
-        lists = by_node(rest.select("key", "node", "n", *MARKS))
+        if not harder:
+            break
+        lists = by_node(member.select("key", "node", "n", *MARKS))
+    discard(before)
     return labels

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyline.llm.common import materialise, semi_join
+from tallyline.llm.common import discard, free_name, materialise, semi_join
 from tallyline.llm.links import MARKS, linked
 from tallyline.llm.words import U64, mix, text_sets
 
@@ -175,7 +175,8 @@ def set_id(found: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, keys) -> DataFrame:
-    """Every row's number, doc_id, set size, set id, head and keys, a written table. ``keys`` is a broadcast ``Keys``."""
+    """Every row's number (its column ``row``, if there is one), doc_id, set size, set id, head and keys, a written table. ``keys`` is a broadcast ``Keys``."""
+    numbered = "row" in docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, made = keys.value, TaskContext.get().partitionId() << 33
@@ -192,11 +193,11 @@ def profiles(docs: DataFrame, keys) -> DataFrame:
                     heads.append(head.tobytes())
                     k = own.of(found, head) if len(found) else found
                     found_keys.append(None if k is head else k.tobytes())
-                yield pa.record_batch([pa.array(range(made, made + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(heads, pa.binary()), pa.array(found_keys, pa.binary()), *(pa.array([m[i] for m in marks], pa.int64()) for i in range(len(MARKS)))], names)
+                yield pa.record_batch([part.column(2) if numbered else pa.array(range(made, made + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(heads, pa.binary()), pa.array(found_keys, pa.binary()), *(pa.array([m[i] for m in marks], pa.int64()) for i in range(len(MARKS)))], names)
                 made += len(n)
 
     schema = "row bigint, doc_id bigint, n bigint, set_id binary, head binary, keys binary, " + ", ".join(f"{m} bigint" for m in MARKS)
-    return materialise(docs.select("doc_id", "text").mapInArrow(rows, schema), "profiles", "zstd")
+    return materialise(docs.select("doc_id", "text", *(["row"] if numbered else [])).mapInArrow(rows, schema), "profiles", "zstd")
 
 
 def lists_of(nodes: DataFrame, keys) -> DataFrame:
@@ -289,14 +290,18 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = materialise(nodes.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct(), "wanted")
     texts = semi_join(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text"), wanted, "doc_id")
     made = texts.mapInArrow(rows, "set_id binary, n bigint, value binary")
-    return materialise(made.join(nodes.select(F.col("row").alias("node"), "set_id"), "set_id").dropDuplicates(["node"]).select("node", "n", "value"), "whole-sets", "uncompressed")
+    sets = materialise(made.join(nodes.select(F.col("row").alias("node"), "set_id"), "set_id").dropDuplicates(["node"]).select("node", "n", "value"), "whole-sets", "uncompressed")
+    discard(wanted)
+    return sets
 
 
 def verified_by_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The links among ``pairs`` by their whole sets, which are made of the texts of these nodes."""
     ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
     sets = whole_sets(docs, nodes.select("row", "doc_id", "set_id").join(ends, "row", "left_semi"))
-    return materialise(filtered_pairs(pairs, sets, _links), "verified")
+    found = materialise(filtered_pairs(pairs, sets, _links), "verified")
+    discard(sets, pairs)
+    return found
 
 
 def verifier(docs: DataFrame, nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -305,8 +310,8 @@ def verifier(docs: DataFrame, nodes: DataFrame) -> Callable[[DataFrame], DataFra
     return lambda pairs: verified_by_sets(docs, nodes, materialise(filtered_pairs(pairs, heads, _may_link), "likely"))
 
 
-def grouped(found: DataFrame, lists: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``found`` (row, doc_id, n, set_id and more, a written table). Rows of equal sets are
+def placed(found: DataFrame, lists: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """row, doc_id, n, node (of its component) of every row of ``found`` (row, doc_id, n, set_id and more, a written table). Rows of equal sets are
     one node; ``lists`` gives the nodes' inverted lists, ``verify`` what finds the links among candidates."""
     firsts = found.filter("n > 0").groupBy("set_id").agg(F.min("row").alias("node"))
     places = materialise(found.select("row", "doc_id", "n", "set_id").join(firsts, "set_id", "left").select("row", "doc_id", "n", F.coalesce("node", "row").alias("node")), "places")
@@ -315,19 +320,34 @@ def grouped(found: DataFrame, lists: Callable[[DataFrame], DataFrame], verify: C
     labels = linked(lists(nodes), verify(nodes))
     if labels is not None:
         places = places.join(labels, "node", "left").select("row", "doc_id", "n", F.coalesce("component", "node").alias("node"))
+    return places
+
+
+def grouped(found: DataFrame, lists: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``found``, as for ``placed``."""
+    places = placed(found, lists, verify)
     smallest = places.groupBy("node").agg(F.min("doc_id").alias("component_id"))
     return places.join(smallest, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def joined(docs: DataFrame, boundary: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def _parts(docs: DataFrame, boundary: int | None) -> tuple:
+    """What ``grouped`` and ``placed`` take, for ``docs`` (doc_id, text, perhaps row)."""
     frequent, counts, by_cost = census(docs.select("text"))
     keys = docs.sparkSession.sparkContext.broadcast(Keys(frequent, counts, by_cost if boundary is None else boundary))
-    return grouped(profiles(docs, keys), lambda nodes: lists_of(nodes, keys), lambda nodes: verifier(docs, nodes))
+    return profiles(docs, keys), lambda nodes: lists_of(nodes, keys), lambda nodes: verifier(docs, nodes)
+
+
+def joined(docs: DataFrame, boundary: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    return grouped(*_parts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), boundary))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of which each is its component's smallest doc_id, with all columns; documents without words all stay."""
-    lost = materialise(joined(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near-copies")
-    return semi_join(docs, lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component of ``docs``, with all columns: that of the smallest doc_id (a null one comes last), of several such rows any one. Documents
+    without words all stay. Rows are told apart by a number of their own, so a row that repeats the doc_id of a near copy stays if its text is no copy."""
+    number = free_name("row_number", docs.columns)
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    places = placed(*_parts(numbered.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(f"`{number}`").alias("row")), None))
+    first = places.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("best"))
+    lost = materialise(places.join(first, "node").filter("row <> best.row").select(F.col("row").alias(number)), "near-copies")
+    return semi_join(numbered, lost, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import regex
 
-#: Distinct pieces kept by one worker; beyond, the cache starts anew.
+#: Distinct pieces kept by one worker, unless its ``cached`` is set; beyond, the cache starts anew.
 CACHED = 600_000
 
 #: Below this character, Python's letters and the pattern's are the same in every version of Unicode.
@@ -29,6 +29,7 @@ class Pieces(dict):
         super().__init__()
         self.find, self.encode, self.join = regex.compile(pattern).findall, encode, join
         self.spaces: dict[str, object] = {}
+        self.cached = CACHED
 
     def value(self, match: str) -> object:
         """Of one match of the pattern."""
@@ -57,7 +58,7 @@ class Pieces(dict):
 
     def values_of(self, text: str) -> list:
         """Values whose join is the text's."""
-        if len(self) >= CACHED:
+        if len(self) >= self.cached:
             self.clear()
         if not text:
             return []

@@ -63,6 +63,37 @@ def test_ngram_join(spark, docs, empty, boundary):
     assert ngram_join.one_of_each(docs).columns == docs.columns
 
 
+def test_one_of_each_by_row(spark):
+    """Near copies without an id, and a row that repeats a near copy's id with a text of its own."""
+    base = [f"t{i}" for i in range(60)]
+    other = " ".join(base[:40] + ["x"] + base[41:])
+    rows = [(None, " ".join(base)), (None, other), (5, " ".join(base[1:])), (5, "a text of its own that is no copy"), (6, ""), (6, None), (7, "b c"), (7, "b c")]
+    df = spark.createDataFrame([(i, t, "s", "g", 0.0, 0) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(df).collect()), key=repr)
+    assert got == sorted([(5, " ".join(base[1:])), rows[3], rows[4], rows[5], (7, "b c")], key=repr)
+
+
+def test_lists_of_any_size(spark, monkeypatch):
+    """Groups above the limits of pair-by-pair lists have the components that pairs alone give."""
+    from tallyline.llm import links
+    groups, members = 6, 30
+    texts = []
+    for g in range(groups):
+        words = [f"g{g}w{i}" for i in range(50)]
+        for m in range(members):
+            k = m % 44
+            texts.append(" ".join(words[:k] + [f"v{m % 3}"] + words[k + 1:] if m else words))
+    df = spark.createDataFrame([(i, t, "s", "g", 0.0, 0) for i, t in enumerate(texts)], SCHEMA)
+    want = None
+    for limits in ((24, 400), (10**9, 10**9)):
+        monkeypatch.setattr(links, "EASY_FIRST", limits[0])
+        monkeypatch.setattr(links, "EASY", limits[1])
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(df).collect()}
+        assert want is None or got == want
+        want = got
+    assert len(set(want.values())) < len(texts)
+
+
 def test_encoders(docs, empty):
     got = {r["doc_id"]: r for r in byte_bpe.encoded_digests(docs).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 0
