@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 from math import exp, lgamma, log
 
 import numpy as np
@@ -40,7 +41,7 @@ UNLIKELY = 0.01                  # units that pass for typical of toxic document
 GUESSES = 32                     # seeds of a sample in which no unit is beyond chance
 TRAINING = 1500
 FOLDS = 5
-CACHED = 500_000
+CACHED = 200_000               # chunks and units whose margin a task remembers
 FLOOR = -2.0
 RUN = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")
 BETWEEN = re.compile(r"[\W_]+")
@@ -161,6 +162,34 @@ class Screen:
         return (np.bitwise_count(~left & self.ends) >= self.least).any(axis=1)
 
 
+class Triples:
+    """What landmarks and weights say of each subsequence of ``ORDER`` = 3 characters: the weighted sum of a unit's similarities is one sum over
+    its own subsequences, since the kernel is an inner product of their weights."""
+
+    def __init__(self, landmarks: list[str], landmark_self: np.ndarray, weights: np.ndarray):
+        self.chars = np.array(sorted({ord(c) for u in landmarks for c in u}), np.uint32)
+        self.base = len(self.chars) + 1
+        self.table = np.zeros(self.base ** 3)
+        for unit, own, weight in zip(landmarks, landmark_self, weights):
+            codes = np.searchsorted(self.chars, np.array([ord(c) for c in unit], np.uint32)) + 1
+            for i, j, k in combinations(range(len(unit)), 3):
+                self.table[(codes[i] * self.base + codes[j]) * self.base + codes[k]] += weight / np.sqrt(max(own, 1e-12)) * DECAY ** (k - i + 1)
+
+    def sums(self, units: list[str]) -> np.ndarray:
+        """The weighted sum of similarities of every unit."""
+        codes = _codes(units, LONGEST)
+        at = np.minimum(np.searchsorted(self.chars, codes), len(self.chars) - 1)
+        place = np.where(self.chars[at] == codes, at + 1, 0).T
+        width = max((len(u) for u in units), default=0)
+        out = np.zeros(len(units))
+        for i in range(width - 2):
+            for j in range(i + 1, width - 1):
+                pair = (place[i] * self.base + place[j]) * self.base
+                for k in range(j + 1, width):
+                    out += self.table.take(pair + place[k]) * DECAY ** (k - i + 1)
+        return out / np.sqrt(np.maximum(self_kernel(units), 1e-12))
+
+
 @dataclass
 class Model:
     screen: Screen
@@ -170,13 +199,16 @@ class Model:
     bias: float
     logistic: np.ndarray           # of 1, the highest and the second highest margin
 
+    def __post_init__(self) -> None:
+        self.triples = Triples(self.landmarks, self.landmark_self, self.weights)
+
     def margins(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), FLOOR)
         for at in range(0, len(units), 2048):
             part = units[at: at + 2048]
             hit = np.flatnonzero(self.screen.passed(part))
             if len(hit):
-                out[at + hit] = similarity([part[i] for i in hit], self.landmarks, self.landmark_self) @ self.weights + self.bias
+                out[at + hit] = self.triples.sums([part[i] for i in hit]) + self.bias
         return out
 
     def score(self, best: np.ndarray) -> np.ndarray:
@@ -379,9 +411,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> t
     return [t or "" for t in rows["text"].to_pylist()], rows["toxic"].to_pylist(), weight
 
 
-_caches: dict[str, Margins] = {}
-
-
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with all columns, and ``score`` (a column of that name is replaced)."""
     spark = docs.sparkSession
@@ -389,15 +418,11 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
     shared = spark.sparkContext.broadcast(model)
-    name = f"{spark.sparkContext.applicationId}-{id(model)}-{model.bias!r}"
     schema = docs.withColumn("score", F.lit(0.0)).schema
     place = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _caches:
-            _caches.clear()
-            _caches[name] = Margins(shared.value)
-        margins = _caches[name]
+        margins = Margins(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
