@@ -172,7 +172,7 @@ def status_overlay(t: Tables):
     return out.select("player_id", "risk_level", F.col("risk_gp_haircut").alias("haircut"))
 
 
-@query("cutoff_grid", "2.8.151-157", """
+@query("cutoff_grid", "2.8.153", """
 WITH e AS (SELECT user_id u, CAST(ts AS DATE) d, sum(value) v FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY d) i FROM e), c AS (SELECT unnest([5, 10, 20]) AS cutoff)
 SELECT u, CAST(cutoff AS INTEGER) AS cutoff, count(*) FILTER (WHERE i <= cutoff) AS n_seen, round(coalesce(sum(v) FILTER (WHERE i <= cutoff), 0), 2) AS seen, count(*) FILTER (WHERE i > cutoff) AS n_rest, round(coalesce(sum(v) FILTER (WHERE i > cutoff), 0), 2) AS rest FROM k, c GROUP BY 1, 2
 """)

@@ -411,7 +411,7 @@ def late_window_shares(t: Tables):
     return out.select("u", "grp", *[r(c).alias(c) for c in ("early_share", "late_share", "gap")])
 
 
-@query("newcomer_classes", "2.3.20, 2.3.21, 2.8.37-39", """
+@query("newcomer_classes", "2.3.20, 2.3.21", """
 WITH f AS (SELECT o_custkey c, min(year(o_orderdate)) y FROM orders GROUP BY 1), k AS (SELECT DISTINCT o_custkey c FROM orders WHERE year(o_orderdate) < 1997)
 SELECT CASE WHEN y = 1997 THEN 'rookie' WHEN y < 1997 THEN 'stash' ELSE 'undrafted' END AS newcomer_class, count(*) AS n FROM f WHERE c NOT IN (SELECT c FROM k) GROUP BY 1
 """)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyline.functions.flags import advisory_games_risk, advisory_games_upside, return_text, short_absence_text
+from tallyline.functions.flags import advisory_games_risk, advisory_games_upside
 from tallyline.functions.names import normalize_name
 from tallyline.functions.rules import news_kinds, report_kind
 from tallyline.operators.matching import in_cohort, in_universe
@@ -153,14 +153,14 @@ def return_flags(board: DataFrame, profile: DataFrame, *, season_games: float =
     share = F.col("first_idx") / F.col("n_events")
     up = advisory_games_upside(share, F.col("proj_gp"), season_games)
     return j.select(entity, F.lit("returned-healthy").alias("return_label"), share.alias("return_block_pct"), F.col("tail_len").alias("return_tail"), up.alias("return_gp_upside_adv"),
-                    (up * F.col("proj_fppg")).alias("return_fp_upside_adv"), return_text(F.col("n_events"), F.col("first_idx"), F.col("gp"), F.col("tail_len"), up).alias("return_flag"))
+                    (up * F.col("proj_fppg")).alias("return_fp_upside_adv"), F.col("n_events").alias("return_events"), F.col("first_idx").alias("return_first"), F.col("gp").alias("return_gp"))
 
 
 def short_absence_flags(board: DataFrame, profile: DataFrame, *, min_mpg: float = 20.0, min_gp: int = 41, min_iso: int = 6, entity: str = "player_id") -> DataFrame:
     ok = profile.where(F.col("veteran") & (F.col("n_groups") == 1) & (F.col("mpg") >= min_mpg) & (F.col("gp") >= min_gp) & (F.col("iso_n") >= min_iso))
     j = ok.join(board.select(entity, "proj_gp"), entity)
     adv = advisory_games_risk(F.col("iso_n"), F.col("proj_gp"))
-    return j.select(entity, F.lit("short-absences").alias("lm_label"), "iso_n", "rest_n", adv.alias("lm_gp_adv"), short_absence_text(F.col("iso_n"), F.col("rest_n"), F.col("gp"), F.col("n_events"), adv).alias("lm_flag"))
+    return j.select(entity, F.lit("short-absences").alias("lm_label"), "iso_n", "rest_n", adv.alias("lm_gp_adv"), F.col("gp").alias("lm_gp"), F.col("n_events").alias("lm_events"))
 
 
 def annotate_moves(moves: DataFrame, board: DataFrame, roster: DataFrame, *, relevant_rank: int = 180, mates: int = 3, entity: str = "player_id") -> DataFrame:
