@@ -17,7 +17,8 @@ from tallyline.llm.common import discard, materialise
 
 PIVOTS = 3
 ROUNDS = 8
-#: Members of a list that is tested pair by pair: before any component is known, and later.
+#: Members of a list that is tested pair by pair before any component is known; later, members of such a list, and pairs for each row of all lists
+#: together at which the rest is tested pair by pair.
 EASY_FIRST, EASY = 24, 400
 
 
@@ -85,10 +86,12 @@ def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> Data
         rest = materialise(_cross(lists, labels), "lists-left")
         discard(before, source)
         before, source = rest, None
-        limit = EASY_FIRST if turn == 0 else EASY if turn < ROUNDS else (1 << 62)
-        rows, harder = rest.agg(F.count(F.lit(1)), F.count_if(F.col("size") > limit)).first()
+        rows, left = rest.agg(F.count(F.lit(1)), F.sum(F.when(F.col("component") != F.col("giant"), F.col("size")).otherwise(F.lit(0)))).first()
         if not rows:
             break
+        # groups of linked members are one component after a round; what pivots leave apart is tested, unless it is still too much
+        limit = EASY_FIRST if turn == 0 else (1 << 62) if left <= EASY * rows or turn == ROUNDS else EASY
+        harder = limit < (1 << 62) and bool(rest.filter(F.col("size") > limit).limit(1).count())
         wide = rest.select("key", "node", "n", *MARKS, "component", "giant", (F.col("size") <= limit).alias("short"))
         member, easy = wide.filter("NOT short"), wide.filter("short")
         a = easy.filter("component <> giant").select("key", F.col("node").alias("a"), *_side("a"), F.col("component").alias("of_a"))
