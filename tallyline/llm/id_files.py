@@ -34,6 +34,8 @@ IMAGE_IDS = 1 << 20
 #: Distinct pieces kept by one worker, about 200 bytes each: the library takes most of the time for a piece that is new.
 CACHED = 1_500_000
 MAGIC = b"IDEF0001"
+#: Bytes of high bits for each count of the select table, and documents that a reader looks up at once.
+SELECT_BYTES, READ_DOCS = 64, 1024
 HEAD = struct.Struct("<8sQQBB")
 IMAGES = "part bigint, image bigint, first_id bigint, n_ids bigint, doc_ids array<bigint>, data binary"
 
@@ -50,29 +52,52 @@ def elias_fano(ends: np.ndarray, total: int) -> tuple[int, bytes, bytes]:
 
 
 class IdFile:
-    """Reads an image; ``select`` gives a boundary, ``ids`` a document's ids without reading others."""
+    """Reads an image; ``select`` gives a boundary, ``ids`` a document's ids without reading others.
+
+    Both parts of the boundaries stay packed as they lie in the image. Beside them, one 32-bit count for every ``SELECT_BYTES`` bytes of the high bits tells
+    how many ones come before; a boundary is found by that table, by the ones of each byte of its block, and by the bits of one byte.
+    """
 
     def __init__(self, data: bytes):
         magic, self.n, self.total, width, self.low = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not an id file")
         high_bytes, low_bytes = (self.n + (self.total >> self.low) + 8) // 8, (self.n * self.low + 7) // 8
-        high = np.unpackbits(np.frombuffer(data, np.uint8, high_bytes, HEAD.size), bitorder="little")
-        self.ones = np.flatnonzero(high)
-        self.low_bits = np.unpackbits(np.frombuffer(data, np.uint8, low_bytes, HEAD.size + high_bytes), bitorder="little")
+        self.high = np.frombuffer(data, np.uint8, high_bytes, HEAD.size)
+        self.low_part = np.frombuffer(data, np.uint8, low_bytes, HEAD.size + high_bytes)
         self.array = np.frombuffer(data, f"<u{width}", self.total, HEAD.size + high_bytes + low_bytes)
+        ones = np.add.reduceat(np.bitwise_count(self.high), np.arange(0, high_bytes, SELECT_BYTES), dtype=np.uint32)
+        self.before = (np.cumsum(ones, dtype=np.uint32) - ones).astype(np.uint32)
+
+    def _place(self, i: int) -> int:
+        """The place of the i-th one among the high bits."""
+        block = int(np.searchsorted(self.before, i, "right")) - 1
+        part = self.high[block * SELECT_BYTES: (block + 1) * SELECT_BYTES]
+        upto = np.cumsum(np.bitwise_count(part), dtype=np.int64)
+        left = i - int(self.before[block])
+        byte = int(np.searchsorted(upto, left, "right"))
+        left -= int(upto[byte - 1]) if byte else 0
+        bits = np.flatnonzero(np.unpackbits(part[byte: byte + 1], bitorder="little"))
+        return (block * SELECT_BYTES + byte) * 8 + int(bits[left])
+
+    def _low(self, i: int, j: int) -> np.ndarray:
+        """The low bits of boundaries i to j - 1, as numbers."""
+        first, last = i * self.low, j * self.low
+        bits = np.unpackbits(self.low_part[first // 8: (last + 7) // 8], bitorder="little")[first % 8: first % 8 + last - first]
+        return bits.reshape(j - i, self.low).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
 
     def select(self, i: int) -> int:
         """The end of document i; -1 gives the start of the first."""
-        if i < 0:
-            return 0
-        bits = self.low_bits[i * self.low: (i + 1) * self.low]
-        return int(self.ones[i] - i) << self.low | int(bits @ (1 << np.arange(self.low)))
+        return 0 if i < 0 else (self._place(i) - i) << self.low | int(self._low(i, i + 1)[0])
 
-    def boundaries(self) -> np.ndarray:
-        """All n + 1 boundaries."""
-        low = self.low_bits[: self.n * self.low].reshape(self.n, self.low).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
-        return np.concatenate([[0], ((self.ones[: self.n] - np.arange(self.n)) << self.low) + low]).astype(np.int64)
+    def ends(self, i: int, j: int) -> np.ndarray:
+        """The ends of documents i to j - 1; what it unpacks follows their number."""
+        if i >= j:
+            return np.zeros(0, np.int64)
+        first, last = self._place(i), self._place(j - 1)
+        ones = np.flatnonzero(np.unpackbits(self.high[first // 8: last // 8 + 1], bitorder="little")) + first // 8 * 8
+        ones = ones[np.searchsorted(ones, first):][: j - i]
+        return ((ones - np.arange(i, j)) << self.low) + self._low(i, j)
 
     def ids(self, i: int) -> np.ndarray:
         return self.array[self.select(i - 1): self.select(i)]
@@ -151,10 +176,11 @@ def read_documents(images: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 file = IdFile(row["data"])
-                at = file.boundaries()
-                ids = file.array.astype("<u4")
-                sums = [crc32(ids[a:b].tobytes()) for a, b in zip(at, at[1:])]
-                starts = at[:-1] + bases[row["part"]] + row["first_id"]
-                yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                before = bases[row["part"]] + row["first_id"]
+                for i in range(0, file.n, READ_DOCS):
+                    j = min(file.n, i + READ_DOCS)
+                    at = np.concatenate([[file.select(i - 1)], file.ends(i, j)])
+                    sums = [crc32(file.array[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:])]
+                    yield pa.record_batch([pa.array(row["doc_ids"][i:j], pa.int64()), pa.array(at[:-1] + before, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return images.select("part", "first_id", "doc_ids", "data").mapInArrow(rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
