@@ -3,7 +3,7 @@
 The kernel of two strings sums, over common subsequences of ``ORDER`` characters, a decay for every character spanned, so insults with
 inserted, dropped or spaced-out characters stay near the plain word. A sentence is represented by its units (words, letters and digits
 only; runs of single letters are also read as one word), and its margin is that of its most toxic unit: training alternates between
-fitting the machine and choosing each labelled sentence's unit. A document's score is a logistic function of its two highest sentence
+fitting the machine and choosing each labelled sentence's unit; typical units are also learned with letters put in and left out. A document's score is a logistic function of its two highest sentence
 margins, so all of the text counts and its length doesn't.
 
 Training: of the labelled documents outside the held-out fold, the ``TRAINING`` toxic and as many clean ones with the least digest of
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyline.llm.common import free_name, materialise
 
-ORDER, DECAY = 3, 0.6
+ORDER, DECAY = 3, 0.9
 LONGEST, STEP = 14, 7
 OTHERS = 8                       # landmarks of each kind that are no seeds, at least
 LANDMARKS = 48
@@ -336,6 +336,18 @@ def spanning(units: list[str]) -> list[int]:
     return out
 
 
+def gapped_variants(unit: str, letters: str, rng: np.random.Generator) -> list[str]:
+    """The unit with a letter put in at every place, with two or three in the middle, with one between all its letters, and with one letter missing."""
+    some = lambda k: "".join(letters[i] for i in rng.integers(len(letters), size=k))      # noqa: E731
+    middle = len(unit) // 2
+    out = [unit[:i] + some(1) + unit[i:] for i in range(1, len(unit)) for _ in range(2)]
+    out += [unit[:middle] + some(k) + unit[middle:] for k in (2, 2, 3)]
+    out += ["".join(c + some(1) for c in unit[:-1]) + unit[-1:] for _ in range(3)]
+    if len(unit) > ORDER + 1:
+        out += [unit[:i] + unit[i + 1:] for i in range(1, len(unit) - 1)]
+    return [v for v in out if ORDER <= len(v) <= LONGEST]
+
+
 def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Model | None:
     """A model from labelled documents; None if they are of one kind."""
     y = np.array(labels)
@@ -370,11 +382,12 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Model
     root = vectors[:, keep] / np.sqrt(values[keep])
     weights, bias = None, 0.0
     witness_of = [max((u for u in units if u in set_of), key=lambda u: typical[u], default=None) if label else None for units, label in zip(own, y)]
+    letters = "".join(u[0] for u in common[:20_000] if u[0].isalpha()) or "e"
     random_clean = [pool[i] for i in rng.permutation(len(pool))[:1500]]
     for turn in range(2):
         witnesses = Counter({u[:LONGEST]: in_toxic[u] for u in everyone}) + Counter(u[:LONGEST] for u in witness_of if u)
         positive = sorted(witnesses)
-        variants = {p[:i] + c + p[i:]: witnesses[p] / 10 for p in seeds if len(p) < LONGEST for i in range(1, len(p)) for c in "ex"}
+        variants = {v: witnesses[p] / 10 for p in seeds for v in gapped_variants(p, letters, rng)}
         gapped = sorted(set(variants) - set(positive))
         negative = sorted(set(near + random_clean) - set(positive))
         units = positive + gapped + negative

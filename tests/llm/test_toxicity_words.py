@@ -50,3 +50,16 @@ def test_copies_are_one_witness():
     one = {f"w{r.random()}" for _ in range(200)}
     copies = [(one - set(r.sample(sorted(one), 10))) | {f"x{i}"} for i in range(6)]
     assert toxicity.distinct([*copies, {"a", "b"}, {"a", "c", "d"}, set(), set()], [1, 1, 1, 1, 1, 0, 1, 1, 1, 1]) == [0, 5, 6, 7, 8, 9]
+
+
+def test_inserted_and_dropped_letters():
+    """Insults the model has only seen plain, with a letter put in, two letters, a letter missing, and separators; clean texts stay clean."""
+    insults = words(12, 6)
+    texts, labels, text = corpus({u: 40 for u in insults}, 900)
+    model = toxicity.fit(texts, labels)
+    r = random.Random(8)
+    letter = lambda: r.choice(LETTERS + "aeiou")
+    edits = {"plain": lambda u: u, "one": lambda u: u[:3] + letter() + u[3:], "two": lambda u: u[:3] + letter() + letter() + u[3:], "dropped": lambda u: u[:2] + u[3:], "separated": "-".join}
+    found = {name: np.mean(scores(model, [text(edit(r.choice(insults)), edit(r.choice(insults))) for _ in range(60)]) >= 0.5) for name, edit in edits.items()}
+    assert found["plain"] >= 0.98 and found["separated"] >= 0.98 and found["one"] >= 0.8 and found["dropped"] >= 0.6 and found["two"] >= 0.5, found
+    assert np.mean(scores(model, [text() for _ in range(300)]) >= 0.5) <= 0.02
