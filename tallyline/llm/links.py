@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyline.llm.common import discard, materialise
 
-PIVOTS = 3
+PIVOTS = 6
 ROUNDS = 8
 #: Members of a list that is tested pair by pair before any component is known; later, members of such a list, and pairs for each row of all lists
 #: together at which the rest is tested pair by pair.
-EASY_FIRST, EASY = 24, 400
+EASY_FIRST, EASY = 24, 1000
 
 
 def components(links: DataFrame) -> DataFrame:
