@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallyline.llm.common import free_name, materialise, semi_join
 
 DELETED = " \t\n\x0b\x0c\r"
-WINDOW_BYTES = 32 << 20
+WINDOW_BYTES = 8 << 20
 SALTS = 16
 ADDED = "gid bigint, digest string, length bigint, winner boolean, local_id {id}, local_count bigint"
 
@@ -68,8 +68,8 @@ def _fold(batches: Iterator[pa.RecordBatch], id_column: str, text: str, schema:
         yield from table.cast(schema).to_batches(max_chunksize=4096)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            held.append(batch.slice(at, 2048))
+        for at in range(0, batch.num_rows, 512):
+            held.append(batch.slice(at, 512))
             size += held[-1].nbytes
             if size >= WINDOW_BYTES:
                 yield from flush()
