@@ -12,7 +12,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyline.functions.scoring import clip, posterior_mean
+from tallyline.operators.metrics import correlation
 from tallyline.operators.ranking import By, asc, desc, with_row_number, with_tied_rank
+from tallyline.session import cut_lineage
 
 PRIOR, SAMPLE, BLEND, DIRECT = "prior", "sample", "blend", "direct"
 
@@ -120,15 +122,16 @@ def remaining(df: DataFrame, settings: list[Setting]) -> DataFrame:
 
 
 def score_settings(rows: DataFrame, *, period: str, entity: str, top: int, min_after: int = 10, **kw) -> DataFrame:
-    """(period, cutoff, setting, n, mae_total, mae_rate, spearman, top_share): errors, agreement of ranks, and how many of the real ``top`` are in the predicted one."""
+    """(period, cutoff, setting, n, mae_total, mae_rate, spearman, top_share): errors, agreement of ranks, and how many of the real ``top`` are in the predicted one.
+    ``spearman`` is null where all totals of a cell are equal."""
     cell = [period, "cutoff", "setting"]
-    r = rows.where("scored").select(*cell, entity, "rest_total", "rest_rate", "after_total", "after_games")
+    r = cut_lineage(rows.where("scored").select(*cell, entity, "rest_total", "rest_rate", "after_total", "after_games"))      # ranked four times
     r = with_tied_rank(with_tied_rank(r, cell, By("rest_total"), "_a", **kw), cell, By("after_total"), "_b", **kw)
     r = with_row_number(with_row_number(r, cell, [desc("rest_total"), asc(entity)], "_p", **kw), cell, [desc("after_total"), asc(entity)], "_q", **kw)
     enough = F.col("after_games") >= min_after
     return r.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("rest_total") - F.col("after_total"))).alias("mae_total"), F.avg(F.when(enough, F.abs(F.col("rest_rate") - F.col("after_total") / F.col("after_games")))).alias("mae_rate"),
-        F.corr("_a", "_b").alias("spearman"), (F.count_if((F.col("_p") <= top) & (F.col("_q") <= top)) / F.least(F.lit(top), F.count(F.lit(1)))).alias("top_share"))
+        correlation("_a", "_b").alias("spearman"), (F.count_if((F.col("_p") <= top) & (F.col("_q") <= top)) / F.least(F.lit(top), F.count(F.lit(1)))).alias("top_share"))
 
 
 def chosen_settings(scores: DataFrame, names: list[str], *, period: str, metric: str = "mae_total") -> DataFrame:

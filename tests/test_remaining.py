@@ -66,3 +66,12 @@ def test_scores_and_choice(spark, kw):
     told = R.paired_settings(got, mine, "b", period="y", metric="mae_total").first()
     assert (told["periods"], told["won"], told["mean_gain"]) == (2, 0, -4.5)
     assert R.with_value(rows.where("setting = 'b' AND y = 1"), period="y", entity="e", pool=3, **kw).where("place = 1").first()["value"] == 4.0
+
+
+@pytest.mark.parametrize("kw", [{}, {"rows_per_task": 3}])
+def test_equal_totals_have_no_correlation(spark, kw):
+    rows = spark.createDataFrame([(1, 2, s, e, True, x, 1.0, float(e), 2.0) for s, v in (("flat", [0.0] * 5), ("up", [1.0, 2.0, 3.0, 4.0, 5.0])) for e, x in enumerate(v)],
+                                 "y int, cutoff int, setting string, e int, scored boolean, rest_total double, rest_rate double, after_total double, after_games double")
+    by = {r["setting"]: r for r in R.score_settings(rows, period="y", entity="e", top=3, min_after=1, **kw).collect()}
+    assert by["flat"]["spearman"] is None and by["flat"]["n"] == 5 and by["flat"]["mae_total"] == 2.0
+    assert by["up"]["spearman"] == pytest.approx(1.0)
