@@ -180,24 +180,24 @@ def resolve_in_context(rows: DataFrame, known: DataFrame, memberships: DataFrame
 def unique_substring_match(queries: DataFrame, known: DataFrame, *, query: str = "query", entity: str = "player_id", name: str = "player_name") -> DataFrame:
     """(query, entity): exact normalised name, else the only name that contains the query.
 
-    Queries of three characters or more join on the rarest of their trigrams; shorter ones are a gram themselves, whose names are counted
-    before the join. An empty query matches nothing.
+    Grams have as many characters as the largest power of two that the query has room for, and are counted in the names. A query that is one gram takes what the
+    count says; others join on the rarest of theirs. An empty query matches nothing. Joins are sorted ones: the optimizer's sizes don't tell of unfolded grams.
     """
     q = queries.select(query, normalize_name(F.col(query)).alias("_q")).distinct()
-    k = known.select(entity, normalize_name(F.col(name)).alias("_n")).distinct()
-    exact = q.join(k, F.col("_q") == F.col("_n")).groupBy(query).agg(F.countDistinct(entity).alias("_c"), F.min(entity).alias("_id")).where(F.col("_c") == 1)
+    ids = [F.min(entity).alias("_lo"), F.max(entity).alias("_hi")]                       # equal where there is only one
+    k = known.select(entity, normalize_name(F.col(name)).alias("_n")).groupBy("_n").agg(*ids)
+    only = lambda df: df.where(F.col("_lo") == F.col("_hi")).select(query, F.col("_lo").alias("_id"))
+    exact = only(q.join(k.hint("merge"), F.col("_q") == F.col("_n")).groupBy(query).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")))
+    room = F.pow(F.lit(2), F.length(F.bin(F.length("_q"))) - 1).cast("int")
+    q = q.where(F.length("_q") > 0).withColumn("_size", room)
     rest = q.join(exact, query, "left_anti")
-    grams = lambda c, n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)), lambda g: F.length(g) == n)
-    pieces = k.select(entity, "_n", F.explode(F.array_distinct(grams(F.col("_n"), 3))).alias("_g"))
-    brief = k.select(entity, F.explode(F.array_distinct(F.concat(grams(F.col("_n"), 1), grams(F.col("_n"), 2)))).alias("_q"))
-    brief = brief.groupBy("_q").agg(F.countDistinct(entity).alias("_c"), F.min(entity).alias("_id")).where(F.col("_c") == 1)
-    short = rest.where(F.length("_q").between(1, 2)).join(brief, "_q")
-    sizes = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_size"))
-    wanted = rest.where(F.length("_q") >= 3).select(query, "_q", F.explode(F.array_distinct(grams(F.col("_q"), 3))).alias("_g"))
-    rarest = wanted.join(sizes, "_g", "left").groupBy(query, "_q").agg(F.min_by("_g", F.struct(F.coalesce("_size", F.lit(0)), F.col("_g"))).alias("_g"))
-    part = rarest.join(pieces, "_g").where(F.contains("_n", "_q"))
-    part = part.groupBy(query).agg(F.countDistinct(entity).alias("_c"), F.min(entity).alias("_id")).where(F.col("_c") == 1)
-    found = exact.select(query, "_id").unionByName(part.select(query, "_id")).unionByName(short.select(query, "_id"))
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - F.col("_size") + 1), lambda i: F.substring(c, i, F.col("_size")))))
+    sizes = q.select("_size").distinct()                                                # powers of two
+    pieces = k.join(F.broadcast(sizes), F.col("_size") <= F.length("_n")).select("_n", "_lo", "_hi", grams(F.col("_n")).alias("_g"))
+    counted = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_names"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    asked = rest.select(query, "_q", grams(F.col("_q")).alias("_g")).join(counted.hint("merge"), "_g", "left")
+    best = asked.groupBy(query, "_q").agg(F.min_by(F.struct("_g", "_lo", "_hi"), F.struct(F.coalesce("_names", F.lit(0)), F.col("_g"))).alias("_b")).select(query, "_q", "_b.*")
+    whole = best.where(F.col("_g") == F.col("_q"))
+    part = best.where(F.col("_g") != F.col("_q")).select(query, "_q", "_g").join(pieces.hint("merge"), "_g").where(F.contains("_n", "_q")).groupBy(query).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    found = exact.unionByName(only(whole)).unionByName(only(part))
     return queries.select(query).distinct().join(found, query, "left").withColumnRenamed("_id", entity)
-
-

@@ -122,6 +122,19 @@ def test_short_queries_match_as_substrings(spark):
     assert got == {"li": "4", "q": "3", "a": None, "nd": "1", "lind": "1", "zz": None, "": None, None: None}
 
 
+def test_grams_of_names_are_not_broadcast(spark, capsys):
+    from tallyline.operators.resolve import unique_substring_match
+
+    known = spark.createDataFrame([(i, f"Person {i:09d}") for i in range(40)] + [(None, "Person 000000099"), (7, "000000007")], "player_id int, player_name string")
+    asked = spark.createDataFrame([(f"{i:09d}",) for i in range(10)] + [("son 0000",), ("son 00003",), ("000000099",), ("0000000399",)], "query string")
+    df = unique_substring_match(asked, known)
+    got = {r["query"]: r["player_id"] for r in df.collect()}
+    assert got == {**{f"{i:09d}": i for i in range(10)}, "son 0000": None, "son 00003": None, "000000099": None, "0000000399": None}
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [_g" in plan and "BroadcastHashJoin [_g" not in plan
+
+
 def test_cohort_scores_of_large_values(spark):
     from tallyline.operators.matching import cohort_z
 
