@@ -1,6 +1,7 @@
 import random
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyline.operators import sequences as S
@@ -98,3 +99,33 @@ def test_nearest_controls_equal_brute_force(spark):
         near = sorted((abs(v - w), j) for j, h, w in pool if h == g and abs(v - w) <= 2.0)[:3]
         want |= {(i, j) for _, j in near}
     assert got == want
+
+
+def test_with_without_in_cells(spark, capsys, monkeypatch):
+    """Rows of pairs and events are never shuffled; cells of two entities give the rows of a plain sum, repeated and unknown values included."""
+    import re
+
+    from tallyline.operators import trends
+
+    monkeypatch.setattr(trends, "PAIR_BLOCK", 2)
+    nan, inf = float("nan"), float("inf")
+    rows = [(e, e % 2, 1, f"{e % 2}|{d}", f"2024-01-{d:02d}", {(3, 4): None, (4, 5): nan, (2, 6): inf}.get((e, d), float(e * d))) for e in range(8) for d in range(1, 13) if (e * 5 + d) % 3 or d == 1]
+    rows += [rows[4], (None, 0, 1, "0|2", "2024-01-02", 5.0)]
+    logs = spark.createDataFrame(rows, "u long, g long, p int, e string, s string, v double").withColumn("d", F.to_date("s"))
+    roles = S.Roles("u", "g", "p", "e", "d")
+    df = trends.with_without(logs, logs.select("g", "p", "e", "d").distinct(), logs.select("u", "g").distinct(), roles, minutes="v")
+    got = {(r["out_id"], r["mate_id"]): (r["n_out"], r["observed_gain"]) for r in df.collect()}
+    df.explain()
+    assert not re.search(r"hashpartitioning\(out_id#\d+L?, mate_id", capsys.readouterr().out)
+    want = {}
+    for o in range(8):
+        mine, days = {r[4] for r in rows if r[0] == o}, {r[4] for r in rows if r[1] == o % 2}
+        for m in range(o % 2, 8, 2):
+            side = lambda there: [r[5] for r in rows if r[0] == m and (r[4] in mine) == there and r[4] >= min(mine)]     # noqa: B023, E731
+            out, inn = side(False), side(True)
+            n_out = len({x for x in days if x >= min(mine)} - mine)
+            if m != o and n_out >= 3 and len(mine) >= 3 and len(out) >= 2 and len(inn) >= 3:
+                mean = lambda v: sum(x for x in v if x is not None) / sum(x is not None for x in v)      # noqa: E731
+                want[o, m] = (n_out, mean(out) - mean(inn))
+    assert got.keys() == want.keys() and want
+    assert all(got[k][0] == n and got[k][1] == pytest.approx(x, nan_ok=True) for k, (n, x) in want.items())
