@@ -40,6 +40,8 @@ SHINGLE = 5
 FREQUENT_MOST = 1 << 20
 FREQUENT_LEAST = 16
 BLOCK = 1 << 21
+#: Rows of a batch that a block is handed on in.
+BATCH = 1 << 16
 LARGEST_SMALL = 20
 LIST_PART = 50_000
 NO_ID = -(1 << 63)
@@ -82,9 +84,10 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     sizes = np.zeros(LARGEST_SMALL + 1, np.int64)
 
-    def block() -> pa.RecordBatch:
+    def block() -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([pa.array(np.zeros(len(values), np.int64)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "key", "n"])
+        made = pa.record_batch([pa.array(np.zeros(len(values), np.int64)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "key", "n"])
+        return (made.slice(at, BATCH) for at in range(0, made.num_rows, BATCH))        # the JVM holds a whole batch outside its heap
 
     for batch in batches:
         for _, found in text_sets(batch.column(0), SHINGLE):
@@ -93,10 +96,10 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(found[: _counted(len(found))].copy())
             size += len(held[-1])
             if size >= BLOCK:
-                yield block()
+                yield from block()
                 held, size = [], 0
     if held:
-        yield block()
+        yield from block()
     yield pa.record_batch([pa.array([1] * len(sizes), pa.int64()), pa.array(range(len(sizes)), pa.int64()), pa.array(sizes)], ["kind", "key", "n"])
 
 

@@ -144,3 +144,16 @@ def test_toxicity(spark, docs, empty):
     assert held and all(r["predicted"] == int((r["doc_id"] - 100) % 3 == 0) for r in held)
     assert toxicity.clean_rows(texts, labels).columns == texts.columns and toxicity.clean_rows(texts, labels).count() == 92
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0.0
+
+
+def test_census_hands_on_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    from tallyline.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BATCH", 7)
+    text = " ".join(f"w{i}" for i in range(60))
+    made = list(ngram_join._census(iter([pa.record_batch([pa.array([text, text, "a b", None])], ["text"])])))
+    counts = {(r["kind"], r["key"]): r["n"] for b in made for r in b.to_pylist() if r["kind"] == 0}
+    assert max(b.num_rows for b in made[:-1]) == 7
+    assert sorted(counts.values()) == [1] + [2] * ngram_join._counted(56)
