@@ -20,6 +20,8 @@ ROUNDS = 8
 #: Members of a list that is tested pair by pair before any component is known; later, members of such a list, and pairs for each row of all lists
 #: together at which the rest is tested pair by pair.
 EASY_FIRST, EASY = 24, 1000
+#: Lists of a node before the one that a pair meets in, by which a pair that met in one of them already is left out.
+PAST = 8
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -49,18 +51,20 @@ MARKS = ["m0", "m1", "m2", "m3"]
 
 
 def by_node(entries: DataFrame) -> DataFrame:
-    """node, n, marks and the node's keys, of list entries (key, node, n, marks): as many rows as nodes, each as long as its text's head."""
-    return entries.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *MARKS)], F.collect_list("key").alias("keys"))
+    """node, n, marks and the node's keys in order of place, of list entries (key, at, node, n, marks): as many rows as nodes, each as long as its
+    text's head."""
+    return entries.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *MARKS)], F.sort_array(F.collect_list(F.struct("at", "key"))).alias("keys"))
 
 
-def _cross(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists' entries with their component, without lists of one component; ``giant`` is a large component of the list. Components
-    are joined to nodes, before their keys are unfolded."""
+def _cross(lists: DataFrame, labels: DataFrame | None, past: int) -> DataFrame:
+    """The lists' entries with their component, without lists of one component; ``giant`` is a large component of the list, ``past`` the
+    keys of the node's ``past`` lists before. Components are joined to nodes, before their keys are unfolded."""
     if labels is None:
         placed = lists.withColumn("component", F.col("node"))
     else:
         placed = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.select(F.explode("keys").alias("key"), "node", "n", *MARKS, "component")
+    keys = F.transform("keys", lambda k, i: F.struct(k["key"].alias("key"), k["at"].alias("at"), F.slice("keys", F.greatest(i - past + 1, F.lit(1)), F.least(i, F.lit(past)))["key"].alias("past")))
+    placed = placed.select(F.explode(keys).alias("k"), "node", "n", *MARKS, "component").select("k.*", "node", "n", *MARKS, "component")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     several = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("size")).filter("k > 1")
     return placed.join(several.select("key", F.col("top.component").alias("giant"), F.col("top.c").alias("of_giant"), "size"), "key")
@@ -74,16 +78,33 @@ def near(a: str, b: str) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (bits <= n + m - 2 * F.floor((4 * (n + m) + 8) / 9))
 
 
+def first_shared(a: str, b: str) -> Column:
+    """Whether sets of n and m may link if the list they meet in is the first that they share: heads are the first elements in one order, so
+    neither has an element of the other before its place in the list. A linked pair passes in its first list, and need not in others."""
+    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return F.least(n - F.col(f"at_{a}"), m - F.col(f"at_{b}")) >= F.floor((4 * (n + m) + 8) / 9)
+
+
+def pair_by_pair(entries: DataFrame) -> DataFrame:
+    """a, b of different components that share a list and may be linked. Pairs that share one of the lists that both have just before are
+    left out: they meet there, or in a list before it. So a pair that shares many lists makes few rows."""
+    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("at", "past")], *_side(x), F.col("component").alias(f"of_{x}")]
+    a = entries.filter("component <> giant").select("key", *side("a"))
+    b = entries.select("key", *side("b"), F.col("giant").alias("g"))
+    once = (F.col("of_b") == F.col("g")) | (F.col("a") < F.col("b"))
+    return a.join(b, (a.key == b.key) & (F.col("of_a") != F.col("of_b")) & near("a", "b") & first_shared("a", "b") & once & ~F.arrays_overlap("past_a", "past_b")).select("a", "b")
+
+
 def _side(name: str, of: str = "") -> list[Column]:
     return [F.col(of + x).alias(f"{x}_{name}") for x in ("n", *MARKS)]
 
 
 def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """node, component over ``lists`` (node, n, marks, keys), a written table; ``verified`` gives the links (a, b) among candidates (a, b).
+    """node, component over ``lists`` (node, n, marks, keys: place and key), a written table; ``verified`` gives the links (a, b) among candidates (a, b).
     None if there is no list."""
     found, labels, source, before = None, None, lists, None
     for turn in range(ROUNDS + 1):
-        rest = materialise(_cross(lists, labels), "lists-left")
+        rest = materialise(_cross(lists, labels, PAST if turn else 0), "lists-left")    # a first round tests short lists only
         discard(before, source)
         before, source = rest, None
         rows, left = rest.agg(F.count(F.lit(1)), F.sum(F.when(F.col("component") != F.col("giant"), F.col("size")).otherwise(F.lit(0)))).first()
@@ -92,11 +113,9 @@ def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> Data
         # groups of linked members are one component after a round; what pivots leave apart is tested, unless it is still too much
         limit = EASY_FIRST if turn == 0 else (1 << 62) if left <= EASY * rows or turn == ROUNDS else EASY
         harder = limit < (1 << 62) and bool(rest.filter(F.col("size") > limit).limit(1).count())
-        wide = rest.select("key", "node", "n", *MARKS, "component", "giant", (F.col("size") <= limit).alias("short"))
+        wide = rest.select("key", "at", "node", "n", *MARKS, "component", "giant", "past", (F.col("size") <= limit).alias("short"))
         member, easy = wide.filter("NOT short"), wide.filter("short")
-        a = easy.filter("component <> giant").select("key", F.col("node").alias("a"), *_side("a"), F.col("component").alias("of_a"))
-        b = easy.select("key", F.col("node").alias("b"), *_side("b"), F.col("component").alias("of_b"), F.col("giant").alias("g"))
-        met = a.join(b, (a.key == b.key) & (F.col("of_a") != F.col("of_b")) & near("a", "b") & ((F.col("of_b") == F.col("g")) | (F.col("a") < F.col("b")))).select("a", "b")
+        met = pair_by_pair(easy)
         if harder:
             free = member if turn == 0 else member.filter("component <> giant")
             picks = free.groupBy("key").agg(*[F.min_by(F.struct("node", "n", *MARKS, "component"), F.xxhash64("node", F.lit(PIVOTS * turn + i))).alias(f"p{i}") for i in range(PIVOTS)])
@@ -111,6 +130,6 @@ def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> Data
         labels = components(found)
         if not harder:
             break
-        lists = by_node(member.select("key", "node", "n", *MARKS))
+        lists = by_node(member.select("key", "at", "node", "n", *MARKS))
     discard(before)
     return labels

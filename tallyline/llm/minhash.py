@@ -170,7 +170,7 @@ def banded(docs: DataFrame) -> DataFrame:
 
 def band_lists(nodes: DataFrame) -> DataFrame:
     """node, n, marks and keys of every node that shares a band key, a written table; a key that one node alone has is left out."""
-    entries = nodes.select(F.explode("keys").alias("key"), F.col("row").alias("node"), F.col("n").cast("int").alias("n"), *MARKS)
+    entries = nodes.select(F.explode("keys").alias("key"), F.lit(0).alias("at"), F.col("row").alias("node"), F.col("n").cast("int").alias("n"), *MARKS)
     met = materialise(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "bands-met")
     return materialise(by_node(semi_join(entries, met, "key")), "bands")
 

@@ -166,6 +166,13 @@ class Keys:
             return head
         return np.concatenate([self.subsets(found), head]) if 5 * n // 4 > self.boundary else self.subsets(found)
 
+    def places(self, n: int, head: int, keys: int) -> np.ndarray:
+        """Place in the one order of shingles of each key that ``of`` gives for a set of n shingles; subsets, which come first, have 0."""
+        out = np.zeros(keys, np.int64)
+        if n > self.boundary or 5 * n // 4 > self.boundary:
+            out[keys - head:] = np.arange(head)
+        return out
+
 
 def parity_marks(found: np.ndarray) -> list[int]:
     """256 bits: whether the set has an odd number of elements of each value of eight bits of the hash."""
@@ -204,8 +211,8 @@ def profiles(docs: DataFrame, keys) -> DataFrame:
 
 
 def lists_of(nodes: DataFrame, keys) -> DataFrame:
-    """node, n, marks and keys of every node in a list with two members or more, a written table. A list's rows come to one task in order of key and pass it
-    in a stream; lists of frequent shingles come in parts, which are all kept."""
+    """node, n, marks and keys (at: the place in the node's head, key) of every node in a list with two members or more, a written table. A list's rows
+    come to one task in order of key and pass it in a stream; lists of frequent shingles come in parts, which are all kept."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = keys.value
@@ -214,7 +221,8 @@ def lists_of(nodes: DataFrame, keys) -> DataFrame:
                 k = np.frombuffer(head if all_keys is None else all_keys, U64)
                 if len(k):
                     parts = own.parts(k)
-                    yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(np.where(parts > 1, 1 + node % parts, 0)), pa.array(np.full(len(k), node)), pa.array(np.full(len(k), n))], ["key", "part", "node", "n"])
+                    yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(np.where(parts > 1, 1 + node % parts, 0)), pa.array(own.places(n, len(head) // 8, len(k))), pa.array(np.full(len(k), node)), pa.array(np.full(len(k), n))],
+                                          ["key", "part", "at", "node", "n"])
 
     def gathered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -243,14 +251,14 @@ def lists_of(nodes: DataFrame, keys) -> DataFrame:
                 keep[0] |= last_kept
             last, last_kept = table.slice(len(key) - 1).combine_chunks().to_batches()[0], bool(keep[-1])
             keep[-1] = False
-            yield from table.filter(pa.array(keep)).select(["key", "node", "n"]).to_batches()
+            yield from table.filter(pa.array(keep)).select(["key", "at", "node"]).to_batches()
         if last is not None and last_kept:
-            yield last.select(["key", "node", "n"])
+            yield last.select(["key", "at", "node"])
 
-    made = nodes.select("row", "n", "head", "keys").mapInArrow(lambda b: gathered(entries(b)), "key bigint, part bigint, node bigint, n bigint")
-    dealt = made.withColumn("n", F.col("n").cast("int")).withColumn("part", F.col("part").cast("int")).repartition("key", "part").sortWithinPartitions("key", "part")
-    kept = dealt.mapInArrow(several, "key bigint, node bigint, n int")
-    held = kept.groupBy("node").agg(F.collect_list("key").alias("keys"))          # as many as the node's own keys
+    made = nodes.select("row", "n", "head", "keys").mapInArrow(lambda b: gathered(entries(b)), "key bigint, part bigint, at bigint, node bigint, n bigint")
+    dealt = made.select("key", F.col("part").cast("int").alias("part"), F.col("at").cast("int").alias("at"), "node").repartition("key", "part").sortWithinPartitions("key", "part")
+    kept = dealt.mapInArrow(several, "key bigint, at int, node bigint")
+    held = kept.groupBy("node").agg(F.collect_list(F.struct("at", "key")).alias("keys"))          # as many as the node's own keys
     return materialise(held.join(nodes.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), *MARKS), "node"), "lists")
 
 

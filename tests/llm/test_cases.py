@@ -94,6 +94,55 @@ def test_lists_of_any_size(spark, monkeypatch):
     assert len(set(want.values())) < len(texts)
 
 
+def _entries(spark, nodes):
+    """List entries of nodes (node, n, keys in order)."""
+    from tallyline.llm import links
+    rows = [(key, at, node, n, *[0] * len(links.MARKS)) for node, n, keys in nodes for at, key in keys]
+    return spark.createDataFrame(rows, "key bigint, at int, node bigint, n int, " + ", ".join(f"{m} bigint" for m in links.MARKS))
+
+
+def test_pairs_that_share_many_lists_meet_once(spark):
+    """Three nodes share thirty lists, of which one node lacks the first: each pair makes one row, in its first list."""
+    from tallyline.llm import links
+    shared = [(at, 100 + at) for at in range(30)]
+    entries = _entries(spark, [(1, 300, shared), (2, 300, shared), (3, 300, shared[1:])])
+    met = links.pair_by_pair(links._cross(links.by_node(entries), None, links.PAST))
+    assert sorted(tuple(r) for r in met.collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_pairs_that_first_meet_too_late_are_left_out(spark):
+    """Sets of 90 need 80 shared elements: those that meet at the twelfth place first can't have them, those at the eleventh can."""
+    from tallyline.llm import links
+    entries = _entries(spark, [(1, 90, [(10, 5)]), (2, 90, [(10, 5)]), (3, 90, [(11, 6)]), (4, 90, [(0, 6)])])
+    met = links.pair_by_pair(links._cross(links.by_node(entries), None, links.PAST))
+    assert [tuple(r) for r in met.collect()] == [(1, 2)]
+
+
+def test_lists_pair_by_pair_lose_no_link(spark, monkeypatch):
+    """Near copies of random edits, below and above the limit: components as brute force gives them, whatever is tested pair by pair."""
+    import random
+
+    from tallyline.llm import links
+    monkeypatch.setattr(links, "PIVOTS", 1)
+    monkeypatch.setattr(links, "EASY_FIRST", 3)
+    rng = random.Random(3)
+    texts = []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(25):
+            cut = set(rng.sample(range(120), rng.choice([0, 1, 2, 3])))
+            texts.append([w if i not in cut else f"v{rng.random()}" for i, w in enumerate(words)])
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert [r["component_id"] for r in ngram_join.joined(df).orderBy("doc_id").collect()] == want and 3 < len(set(want)) < len(want)
+
+
 def test_encoders(docs, empty):
     got = {r["doc_id"]: r for r in byte_bpe.encoded_digests(docs).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 0
