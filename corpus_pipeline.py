@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,16 +13,34 @@ from tallyline.llm.common import read_table
 from tallyline.session import ensure_checkpoint_dir
 
 
+BATCH_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
+
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Texts pass to Python ``TEXT_ROWS`` rows at a time or, if the session says so, fewer: JVM and worker hold a whole batch outside the heap."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(BATCH_ROWS)) <= TEXT_ROWS:
+            spark.conf.set(BATCH_ROWS, str(TEXT_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+@in_small_batches
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the model, learned from ``labels``, doesn't reject."""
     return toxicity.clean_rows(docs, read_table(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     return exact_dedup.unique_rows(docs)
 
 
+@in_small_batches
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of documents that are linked by their shingles."""
     return ngram_join.one_of_each(docs)
@@ -31,6 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
+@in_small_batches
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document of the mix, as digests."""
     return byte_bpe.encoded_digests(docs)

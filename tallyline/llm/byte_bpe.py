@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import ahocorasick
@@ -22,6 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tallyline.llm.common import held
 from tallyline.llm.pieces import Pieces
 from tallyline.llm.words import _spans
 
@@ -129,9 +129,8 @@ class ByteBpe:
         return self.blob[_spans(self.offsets[ids], self.lengths[ids])].tobytes() if len(ids) else b""
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> ByteBpe:
-    return ByteBpe(load_ranks(path))
+    return held(f"byte BPE {path}", lambda: ByteBpe(load_ranks(path)))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,10 @@
-"""What the corpus operators share: tables cut from their lineage, size-checked semi-joins, free column names."""
+"""What the corpus operators share: tables cut from their lineage, size-checked semi-joins, free column names, what a worker keeps between tasks."""
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -45,6 +46,24 @@ def semi_join(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -
     return df.join(F.broadcast(keys) if small else keys, on, how)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """The object called ``name`` that tasks of this Python worker share, made at first use; one of another name is let go."""
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Free what ``held`` keeps. Spark uses a worker again for other stages: a task that needs memory of its own doesn't carry an earlier stage's."""
+    if _held:
+        _held.clear()
+        gc.collect()
+
+
 def free_name(name: str, taken: Iterable[str]) -> str:
     """``name``, with as many underscores before it as no column of ``taken`` has (names differ by more than case)."""
     lower = {c.lower() for c in taken}

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyline.llm.common import free_name, materialise, semi_join
+from tallyline.llm.common import free_name, let_go, materialise, semi_join
 
 DELETED = " \t\n\x0b\x0c\r"
 WINDOW_BYTES = 8 << 20
@@ -31,6 +31,7 @@ ADDED = "gid bigint, digest string, length bigint, winner boolean, local_id {id}
 
 def _fold(batches: Iterator[pa.RecordBatch], id_column: str, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Stage 1: append to each row its window's group, and drop the text of all but the group's winner."""
+    let_go()
     part, made = TaskContext.get().partitionId() << 33, 0
     held: list[pa.RecordBatch] = []
     size = 0

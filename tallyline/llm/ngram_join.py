@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyline.llm.common import discard, free_name, materialise, semi_join
+from tallyline.llm.common import discard, free_name, let_go, materialise, semi_join
 from tallyline.llm.links import MARKS, linked
 from tallyline.llm.words import U64, mix, text_sets
 
@@ -80,6 +80,7 @@ def _counted(n: int) -> int:
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, key, n): 0, shingles of a block and the sets that count them; 1, sets of a small size."""
+    let_go()
     held: list[np.ndarray] = []
     size = 0
     sizes = np.zeros(LARGEST_SMALL + 1, np.int64)
@@ -189,6 +190,7 @@ def profiles(docs: DataFrame, keys) -> DataFrame:
     numbered = "row" in docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         own, made = keys.value, TaskContext.get().partitionId() << 33
         names = ["row", "doc_id", "n", "set_id", "head", "keys", *MARKS]
         for batch in batches:

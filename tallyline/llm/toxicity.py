@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyline.llm.common import free_name, materialise
+from tallyline.llm.common import free_name, let_go, materialise
 
 ORDER, DECAY = 3, 0.9
 LONGEST, STEP = 14, 7
@@ -435,6 +435,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     place = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         margins = Margins(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

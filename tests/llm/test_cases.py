@@ -143,6 +143,19 @@ def test_lists_pair_by_pair_lose_no_link(spark, monkeypatch):
     assert [r["component_id"] for r in ngram_join.joined(df).orderBy("doc_id").collect()] == want and 3 < len(set(want)) < len(want)
 
 
+def test_workers_let_an_encoder_go():
+    """A task of another stage frees the encoder that an earlier stage left in its worker."""
+    import weakref
+
+    import public_tokenizers
+
+    path = public_tokenizers.path(byte_bpe.VOCABULARY)
+    first = weakref.ref(byte_bpe.coder(path))
+    assert first() is byte_bpe.coder(path)
+    list(ngram_join._census(iter([])))
+    assert first() is None
+
+
 def test_encoders(docs, empty):
     got = {r["doc_id"]: r for r in byte_bpe.encoded_digests(docs).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 0
