@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyline.llm.common import materialise
+from tallyline.llm.common import materialise, small_batches, thrifty
 from tallyline.llm.words import BASE, STEP, U64, mix, text_buffers
 
 MIN_COUNT, TOP, SHARE = 10, 2000, 50
@@ -144,7 +144,7 @@ def _filter_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def filter_of(keys: DataFrame, old: np.ndarray | None = None) -> np.ndarray:
     """The table of the phrases with ``keys``, added to ``old``. The driver gets its set cells: 16 MB at most."""
-    cells = keys.select("key").mapInArrow(_filter_cells, "cell bigint, bits bigint").groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    cells = keys.select("key").mapInArrow(thrifty(_filter_cells), "cell bigint, bits bigint").groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), U64) if old is None else old.view(U64).copy()
     out[cells["cell"].to_numpy()] |= cells["bits"].to_numpy().view(U64)
     return out.view(np.uint8)
@@ -291,7 +291,7 @@ def hashed_counts(docs: DataFrame, now: np.ndarray | None, before: np.ndarray |
     """key, size, n of every counted phrase."""
     context = docs.sparkSession.sparkContext
     told = [context.broadcast(bits.tobytes()) if bits is not None else None for bits in (now, before)]
-    return _texts(docs).mapInArrow(lambda batches: _hashed(batches, *told, sizes), HASHED).groupBy("key", "size").agg(F.sum("n").alias("n"))
+    return _texts(docs).mapInArrow(thrifty(lambda batches: _hashed(batches, *told, sizes)), HASHED).groupBy("key", "size").agg(F.sum("n").alias("n"))
 
 
 def _failures(found: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -303,7 +303,7 @@ def _failures(found: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(~known.has(batch.column(0).to_numpy(zero_copy_only=False).view(U64))))
 
-    return materialise(found.filter("size < 3").select("key").mapInArrow(failures, "key bigint"), "phrase-failures")
+    return materialise(found.filter("size < 3").select("key").mapInArrow(thrifty(failures), "key bigint"), "phrase-failures")
 
 
 def mined_keys(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, proposed: int = PROPOSED) -> DataFrame:
@@ -325,7 +325,7 @@ def mined_keys(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, proposed: int = PROPOSED) -> tuple[DataFrame, DataFrame]:
     """(lang, n of all words), and the phrases of 1 to 3 words with at least ``min_count`` occurrences: lang, word, size, w1, w2, w3, n."""
     wanted = docs.sparkSession.sparkContext.broadcast(filter_of(mined_keys(docs, min_count, sample, proposed)).tobytes())
-    rows = _texts(docs).mapInArrow(lambda batches: _exact(batches, wanted), COUNTS)
+    rows = _texts(docs).mapInArrow(thrifty(lambda batches: _exact(batches, wanted)), COUNTS)
     exact = rows.groupBy(*KEYS).agg(F.sum("n").alias("n"))
     # words that are rare after all join their language's others
     rare = (F.col("size") < 2) & (F.col("n") < min_count)
@@ -368,7 +368,8 @@ def _score(a: str, l: str, r: str) -> Column:
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, share: int = SHARE, sample: int = SAMPLE, proposed: int = PROPOSED) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` candidates of each language in ``docs`` (text, lang)."""
-    totals, phrases = frequent_phrases(docs, min_count, sample, proposed)
+    with small_batches(docs.sparkSession):
+        totals, phrases = frequent_phrases(docs, min_count, sample, proposed)
     candidates = materialise(scored(phrases, share), "phrase-candidates")
     # the score and count of each language's last place: row_number lets each task pass ``top`` rows on, ties are cut anywhere
     level = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "w1", "w2", "w3")

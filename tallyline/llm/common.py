@@ -1,17 +1,23 @@
-"""What the corpus operators share: tables cut from their lineage, size-checked semi-joins, free column names, what a worker keeps between tasks."""
+"""What the corpus operators share: tables cut from their lineage, size-checked semi-joins, free column names, what passes to Python at a time and what a
+worker keeps between tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyline.session import ensure_checkpoint_dir
 
 #: A key set of at most this many rows (two longs each, so 16 MB) may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of the rows that pass to Python at a time: JVM and worker hold a whole batch outside the heap, Spark's default being 64 MB.
+BATCH_BYTES, TEXT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +70,40 @@ def let_go() -> None:
         gc.collect()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside pass rows to Python ``TEXT_BYTES`` at a time; the session's own setting holds again afterwards."""
+    before = spark.conf.getAll.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(TEXT_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
+
+
+def give_back() -> None:
+    """Hand memory that was freed back to the system, where the C library can: both allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def thrifty(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows`` as a task whose worker gives back what it freed: Spark keeps idle workers, and they count as the executor's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def free_name(name: str, taken: Iterable[str]) -> str:
     """``name``, with as many underscores before it as no column of ``taken`` has (names differ by more than case)."""
     lower = {c.lower() for c in taken}
