@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm import byte_bpe, exact_dedup, mixing, ngram_join, toxicity
-from tallyline.llm.common import read_table
+from tallyline.llm.common import BATCH_BYTES, TEXT_BYTES, read_table
 from tallyline.session import ensure_checkpoint_dir
 
 
@@ -17,12 +17,14 @@ BATCH_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Texts pass to Python ``TEXT_ROWS`` rows at a time or, if the session says so, fewer: JVM and worker hold a whole batch outside the heap."""
+    """Texts pass to Python ``TEXT_ROWS`` rows at a time or, if the session says so, fewer, and ``TEXT_BYTES`` bytes at most: JVM and worker hold a
+    whole batch outside the heap. The session keeps this, as a stage's rows are read after it has returned."""
 
     @wraps(stage)
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not 0 < int(spark.conf.get(BATCH_ROWS)) <= TEXT_ROWS:
             spark.conf.set(BATCH_ROWS, str(TEXT_ROWS))
+        spark.conf.set(BATCH_BYTES, str(TEXT_BYTES))
         return stage(spark, docs, sf_dir)
 
     return begun

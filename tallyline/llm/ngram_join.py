@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyline.llm.common import discard, free_name, let_go, materialise, semi_join
+from tallyline.llm.common import discard, free_name, let_go, materialise, semi_join, small_batches, thrifty
 from tallyline.llm.links import MARKS, linked
 from tallyline.llm.words import U64, mix, text_sets
 
@@ -106,7 +106,7 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def census(texts: DataFrame, least: int = FREQUENT_LEAST) -> tuple[np.ndarray, np.ndarray, int]:
     """Frequent shingles in ascending order, their counts, and the boundary between small and large sets."""
-    counts = texts.mapInArrow(_census, "kind bigint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(thrifty(_census), "kind bigint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = materialise(counts.filter((F.col("kind") == 1) | (F.col("n") > 1)), "census")
     sizes = {int(r["key"]): int(r["n"]) for r in counted.filter("kind = 1").collect()}       # LARGEST_SMALL + 1 rows
     shingles = counted.filter("kind = 0")
@@ -209,7 +209,7 @@ def profiles(docs: DataFrame, keys) -> DataFrame:
                 made += len(n)
 
     schema = "row bigint, doc_id bigint, n bigint, set_id binary, head binary, keys binary, " + ", ".join(f"{m} bigint" for m in MARKS)
-    return materialise(docs.select("doc_id", "text", *(["row"] if numbered else [])).mapInArrow(rows, schema), "profiles", "zstd")
+    return materialise(docs.select("doc_id", "text", *(["row"] if numbered else [])).mapInArrow(thrifty(rows), schema), "profiles", "zstd")
 
 
 def lists_of(nodes: DataFrame, keys) -> DataFrame:
@@ -257,9 +257,9 @@ def lists_of(nodes: DataFrame, keys) -> DataFrame:
         if last is not None and last_kept:
             yield last.select(["key", "at", "node"])
 
-    made = nodes.select("row", "n", "head", "keys").mapInArrow(lambda b: gathered(entries(b)), "key bigint, part bigint, at bigint, node bigint, n bigint")
+    made = nodes.select("row", "n", "head", "keys").mapInArrow(thrifty(lambda b: gathered(entries(b))), "key bigint, part bigint, at bigint, node bigint, n bigint")
     dealt = made.select("key", F.col("part").cast("int").alias("part"), F.col("at").cast("int").alias("at"), "node").repartition("key", "part").sortWithinPartitions("key", "part")
-    kept = dealt.mapInArrow(several, "key bigint, at int, node bigint")
+    kept = dealt.mapInArrow(thrifty(several), "key bigint, at int, node bigint")
     held = kept.groupBy("node").agg(F.collect_list(F.struct("at", "key")).alias("keys"))          # as many as the node's own keys
     return materialise(held.join(nodes.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), *MARKS), "node"), "lists")
 
@@ -289,7 +289,7 @@ def filtered_pairs(pairs: DataFrame, values: DataFrame, bound) -> DataFrame:
     """The pairs (a, b) for which ``bound`` of both nodes' n and value holds; ``values``: node, n, value."""
     a = values.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("value").alias("v_a"))
     b = values.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("value").alias("v_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(_pair_filter(bound), "a bigint, b bigint")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(thrifty(_pair_filter(bound)), "a bigint, b bigint")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     wanted = materialise(nodes.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct(), "wanted")
     texts = semi_join(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text"), wanted, "doc_id")
-    made = texts.mapInArrow(rows, "set_id binary, n bigint, value binary")
+    made = texts.mapInArrow(thrifty(rows), "set_id binary, n bigint, value binary")
     sets = materialise(made.join(nodes.select(F.col("row").alias("node"), "set_id"), "set_id").dropDuplicates(["node"]).select("node", "n", "value"), "whole-sets", "uncompressed")
     discard(wanted)
     return sets
@@ -352,7 +352,8 @@ def _parts(docs: DataFrame, boundary: int | None) -> tuple:
 
 def joined(docs: DataFrame, boundary: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    return grouped(*_parts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), boundary))
+    with small_batches(docs.sparkSession):
+        return grouped(*_parts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), boundary))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -360,7 +361,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     without words all stay. Rows are told apart by a number of their own, so a row that repeats the doc_id of a near copy stays if its text is no copy."""
     number = free_name("row_number", docs.columns)
     numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    places = placed(*_parts(numbered.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(f"`{number}`").alias("row")), None))
+    with small_batches(docs.sparkSession):
+        places = placed(*_parts(numbered.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(f"`{number}`").alias("row")), None))
     first = places.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("best"))
     lost = materialise(places.join(first, "node").filter("row <> best.row").select(F.col("row").alias(number)), "near-copies")
     return semi_join(numbered, lost, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

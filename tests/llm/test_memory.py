@@ -6,7 +6,7 @@ from pathlib import Path
 import pyarrow as pa
 import pytest
 
-from tallyline.llm import collocations, common
+from tallyline.llm import collocations, common, ngram_join
 
 DOCS = "doc_id bigint, text string, lang string"
 ROWS = [(i, f"one two three four five six {i % 7}. seven eight", "en") for i in range(60)]
@@ -31,6 +31,13 @@ def test_collocations_pass_texts_in_small_batches(spark, monkeypatch):
     assert str(common.TEXT_BYTES) in [re.sub(r"\D", "", x) for x in limits[:3]] and limits[0] == limits[1] and after == before
 
 
+@pytest.mark.parametrize("run", [ngram_join.joined, ngram_join.one_of_each])
+def test_the_join_passes_texts_and_sets_in_small_batches(spark, monkeypatch, run):
+    before = spark.conf.get(common.BATCH_BYTES)
+    limits, after = seen_batches(spark, monkeypatch, ngram_join, run)
+    assert str(common.TEXT_BYTES) in [re.sub(r"\D", "", x) for x in limits] and after == before
+
+
 def test_a_batch_is_bounded_by_its_bytes(spark):
     texts = spark.range(0, 64, 1, 1).selectExpr("repeat('x', 262144) AS text")
     size = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)        # noqa: E731
