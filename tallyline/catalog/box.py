@@ -51,4 +51,4 @@ def bio(t: Tables) -> DataFrame:
 
 def history_tables(t: Tables) -> dict[str, DataFrame]:
     # the role tables are joins; a projection reads them many times
-    return {"game_logs": cut_lineage(game_logs(t)), "team_games": team_games(t), "players": players(t), "player_season_bio": bio(t)}
+    return {name: cut_lineage(table(t)) for name, table in (("game_logs", game_logs), ("team_games", team_games), ("players", players), ("player_season_bio", bio))}

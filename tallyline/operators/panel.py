@@ -36,15 +36,16 @@ def entity_period_panel(events: DataFrame, *, entity: str, period: str, score: s
 def attach_lags(rows: DataFrame, panel: DataFrame, *, entity: str, period: str, n_lags: int, columns: list[str]) -> DataFrame:
     """``<column>_lag<k>`` of the same entity k periods earlier; a period the entity missed stays null.
 
-    Each panel row is offered to the k later periods it is a lag of, and one aggregate lines them up: a single shuffle on the
-    entity instead of k self-joins. An entity has one row per period, so nothing here grows with the event table.
+    The panel's rows of an entity become one map from period to values, and each row looks up its k earlier periods in it: one
+    shuffle on the entity instead of k self-joins, and no row is copied. An entity has one row per period (of several, the greatest
+    values count), so nothing here grows with the event table.
     """
-    offered = panel.select(F.col(entity), F.col(period).alias("_from"), *columns)
-    offered = offered.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(1, n_lags + 1)])))
-    offered = offered.withColumn(period, F.col("_from") + F.col("_k"))
-    wide = offered.groupBy(entity, period).agg(*[
-        F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"{c}_lag{k}") for c in columns for k in range(1, n_lags + 1)])
-    return rows.join(wide, [entity, period], "left")
+    known = panel.where(F.col(entity).isNotNull() & F.col(period).isNotNull()).select(entity, period, *columns).repartition(F.col(entity))
+    known = known.groupBy(entity, period).agg(*[F.max(c).alias(c) for c in columns])
+    values = known.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct(F.col(period), F.struct(*columns)))).alias("_periods"))
+    kept = [entity, period, *[c for c in rows.columns if c not in (entity, period)]]
+    found = rows.join(values, entity, "left").select(*kept, *[F.try_element_at("_periods", F.col(period) - k).alias(f"_back{k}") for k in range(1, n_lags + 1)])
+    return found.select(*kept, *[F.col(f"_back{k}")[c].alias(f"{c}_lag{k}") for c in columns for k in range(1, n_lags + 1)])
 
 
 def lags(column: str, n_lags: int) -> list[Column]:

@@ -321,4 +321,6 @@ class BaselineProjector:
             (F.col("proj_fppg") * tau).alias("proj_fppg_spread"), "age", "is_rookie", "n_hist_seasons", confidence.alias("confidence"), F.col("p_appear").alias("proj_p_appear"))
 
     def project(self, history: History) -> DataFrame:
+        # which players were known is a join over all events: made once, read by every part
+        history = History(history.target, {**history.tables, "players": cut_lineage(history["players"])})
         return self.predict(self.fit(history), history)

@@ -10,8 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyline.functions.scoring import shrink
-from tallyline.operators.fit import KAPPA_HIGH, KAPPA_LOW, KAPPA_POINTS, AgeCurve, gram, kappa_losses, log_grid
+from tallyline.operators.fit import KAPPA_HIGH, KAPPA_LOW, KAPPA_POINTS, AgeCurve, gram, grid_losses, log_grid
 from tallyline.operators.panel import attach_lags
 from tallyline.operators.ranking import asc, with_running_sum
 from tallyline.session import cut_lineage, spread
@@ -108,16 +107,16 @@ def _moved(n_lags: int) -> Column:
     """Lag numerators shifted to the row's age, nearest first; a missing lag counts nothing."""
     zero = lambda v: F.coalesce(v, F.lit(0.0))         # noqa: E731
 
-    def one(k: Column) -> Column:
+    def one(k: int) -> Column:
         shift = F.when(F.col("curved") & F.col("age").isNotNull(), _change_to(F.col("age")) - _change_to(F.col("age") - k)).otherwise(0.0)
-        return zero(F.get("nums", k - 1)) + zero(F.get("dens", k - 1)) * shift
+        return zero(F.get("nums", F.lit(k - 1))) + zero(F.get("dens", F.lit(k - 1))) * shift
 
-    return F.transform(F.sequence(F.lit(1), F.lit(n_lags)), one)
+    # lags are few and their number is known, so each is a plain expression: functions over arrays aren't compiled
+    return F.array(*[one(k) for k in range(1, n_lags + 1)])
 
 
-def _decayed(values: Column, decay: Column) -> Column:
-    weighted = F.transform(values, lambda v, i: F.coalesce(v, F.lit(0.0)) * F.pow(decay, i.cast("double")))
-    return F.aggregate(weighted, F.lit(0.0), lambda acc, v: acc + v)
+def _decayed(values: Column, decay: Column, n_lags: int) -> Column:
+    return sum((F.coalesce(F.get(values, F.lit(i)), F.lit(0.0)) * F.pow(decay, F.lit(float(i))) for i in range(n_lags)), F.lit(0.0))
 
 
 def _prior(mpg: Column) -> Column:
@@ -134,7 +133,7 @@ def predict_quantities(frame: DataFrame, fits: dict[str, QuantityFit], n_lags: i
     quantities = tuple(f.q for f in fits.values())
     long = stacked(frame, quantities, n_lags, [mpg] if mpg else [], target=False).join(params_table(frame.sparkSession, fits), "q")
     minutes = F.col(mpg) if mpg else F.lit(0.0)
-    est = long.select("player_id", "s", "q", "kappa", "bound_lo", "bound_hi", _prior(minutes).alias("prior"), _decayed(_moved(n_lags), F.col("decay")).alias("top"), _decayed(F.col("dens"), F.col("decay")).alias("n"))
+    est = long.select("player_id", "s", "q", "kappa", "bound_lo", "bound_hi", _prior(minutes).alias("prior"), _decayed(_moved(n_lags), F.col("decay"), n_lags).alias("top"), _decayed(F.col("dens"), F.col("decay"), n_lags).alias("n"))
     est = est.withColumn("est", F.when(F.col("n") > 0, _bounded(F.col("top") / F.col("n"))).otherwise(F.col("prior")))
     value = _bounded(F.col("prior") + F.coalesce(F.try_divide(F.col("n"), F.col("n") + F.col("kappa")), F.lit(0.0)) * (F.col("est") - F.col("prior")))
     est = est.select("player_id", "s", "q", "n", value.alias("v"))
@@ -211,19 +210,19 @@ def fit_quantities(panel: DataFrame, train: DataFrame, quantities: tuple[Quantit
     long = stacked(rows, quantities, cfg.n_lags, ["mpg"] + ([mpg] if mpg else [])).where(F.col("den") > 0).join(params_table(panel.sparkSession, fits), "q")
     decays = F.explode(F.array(*[F.lit(d) for d in cfg.decay_grid])).alias("d")
     data = long.select("q", (F.col("num") / F.col("den")).alias("y"), F.col("den").alias("w"), _prior(F.col(mpg or "mpg")).alias("prior"), "bound_lo", "bound_hi", _moved(cfg.n_lags).alias("moved"), "dens", decays)
-    data = data.select("q", "y", "w", "prior", F.col("d").alias("decay"), "bound_lo", "bound_hi", _decayed(F.col("moved"), F.col("d")).alias("top"), _decayed(F.col("dens"), F.col("d")).alias("n"))
-    data = data.where(F.col("n") > 0).select("q", "decay", "y", "w", "prior", "n", _bounded(F.col("top") / F.col("n")).alias("est"))
+    data = data.select("q", "y", "w", "prior", F.col("d").alias("decay"), "bound_lo", "bound_hi", _decayed(F.col("moved"), F.col("d"), cfg.n_lags).alias("top"), _decayed(F.col("dens"), F.col("d"), cfg.n_lags).alias("n"))
+    data = data.select("q", "decay", "y", "w", "prior", "n", F.when(F.col("n") > 0, _bounded(F.col("top") / F.col("n"))).alias("est"))
     grid = log_grid(KAPPA_LOW, KAPPA_HIGH, KAPPA_POINTS)
-    losses = kappa_losses(data, "est", "prior", "n", "y", "w", grid, by=["q", "decay"]).collect()           # quantities x decays x grid points
+    losses = grid_losses(data, "est", "prior", "n", "y", "w", grid, by=["q", "decay"]).collect()           # quantities x decays x grid points
     best = {}
     for r in sorted(losses, key=lambda r: (r["loss"], r["decay"], r["kappa"])):
         best.setdefault(r["q"], r)
     best = {q: r for q, r in best.items() if r["rows"] >= cfg.min_fit_rows}
     if best:
         fine = {q: log_grid(grid[max(grid.index(r["kappa"]) - 1, 0)], grid[min(grid.index(r["kappa"]) + 1, KAPPA_POINTS - 1)], 41) for q, r in best.items()}
-        chosen = panel.sparkSession.createDataFrame([(q, float(r["decay"]), fine[q]) for q, r in best.items()], "q string, decay double, near array<double>")
-        err = F.col("y") - shrink(F.col("est"), F.col("prior"), F.col("n"), F.col("kappa"))
-        second = data.join(F.broadcast(chosen), ["q", "decay"]).withColumn("kappa", F.explode("near")).groupBy("q", "kappa").agg((F.sum(F.col("w") * err * err) / F.sum("w")).alias("loss"))     # one row per quantity
+        chosen = panel.sparkSession.createDataFrame([(q, float(r["decay"])) for q, r in best.items()], "q string, decay double")
+        near = data.join(F.broadcast(chosen), ["q", "decay"])                                                # one row per quantity
+        second = grid_losses(near, "est", "prior", "n", "y", "w", fine, by=["q"])
         refined = {r["q"]: r["k"] for r in second.groupBy("q").agg(F.min_by("kappa", F.struct("loss", "kappa")).alias("k")).collect()}
         for q, r in best.items():
             fits[q].decay, fits[q].kappa, fits[q].fitted = float(r["decay"]), float(refined.get(q, r["kappa"])), True
