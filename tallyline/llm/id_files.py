@@ -14,6 +14,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from tallyline.llm.common import materialise
-from tallyline.llm.pieces import Pieces
+from tallyline.llm.pieces import PLAIN, Pieces
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 IMAGE_IDS = 1 << 20
@@ -111,6 +112,24 @@ def image_of(ids: bytes, counts: list[int], width: int) -> bytes:
     return HEAD.pack(MAGIC, len(counts), total, width, low) + high_part + low_part + np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others for U+0100 and up, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _splits_as_pattern(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer does nothing to a match of the pattern but hand its bytes to its model."""
+    parts = json.loads(tokenizer.to_str())
+    split = parts["pre_tokenizer"] or {}
+    return (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and parts["model"]["type"] == "BPE"
+            and not any(parts.get(k) for k in ("normalizer", "truncation", "padding")))
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> tuple[Pieces, int]:
     tokenizer = Tokenizer.from_file(path)
@@ -119,7 +138,18 @@ def _encoder(path: str) -> tuple[Pieces, int]:
         ids = tokenizer.encode(text, None, False, False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    pieces = Pieces(public_tokenizers.PATTERN, bytes_of, b"".join)
+    model = tokenizer.model
+
+    def piece_bytes_of(piece: str) -> bytes:
+        """Of one match of the pattern, by the tokenizer's model alone: there is nothing left to split or to normalise."""
+        if not piece.isascii():
+            if max(piece) >= PLAIN:                              # the library's letters may be others: it splits for itself
+                return bytes_of(piece)
+            piece = piece.encode().decode("latin-1")
+        ids = [token.id for token in model.tokenize(piece.translate(BYTE_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    pieces = Pieces(public_tokenizers.PATTERN, piece_bytes_of if _splits_as_pattern(tokenizer) else bytes_of, b"".join)
     pieces.cached, pieces.whole = CACHED, bytes_of
     pieces.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return pieces, 2 if tokenizer.get_vocab_size(True) <= 1 << 16 else 4
