@@ -13,6 +13,8 @@ from tallyline.llm.common import BATCH_BYTES, TEXT_BYTES, read_table
 from tallyline.session import ensure_checkpoint_dir
 
 
+#: Pieces that a worker of the last stage keeps: the stages before it leave the JVM at its full size, so a worker has some 200 MB.
+BPE_PIECES = 120_000
 BATCH_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
@@ -56,7 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @in_small_batches
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document of the mix, as digests."""
-    return byte_bpe.encoded_digests(docs)
+    return byte_bpe.encoded_digests(docs, pieces=BPE_PIECES)
 
 
 STAGES = [("toxicity", not_toxic), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing", mixture), ("byte-level BPE", encoding)]

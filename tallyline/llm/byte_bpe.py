@@ -21,8 +21,8 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyline.llm.common import held
-from tallyline.llm.pieces import Pieces
+from tallyline.llm.common import held, thrifty
+from tallyline.llm.pieces import CACHED, Pieces
 from tallyline.llm.words import _spans
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -133,8 +133,9 @@ def coder(path: str) -> ByteBpe:
     return held(f"byte BPE {path}", lambda: ByteBpe(load_ranks(path)))
 
 
-def _rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], path: str, pieces: int) -> Iterator[pa.RecordBatch]:
     bpe = coder(path)
+    bpe.pieces.cached = pieces
     for batch in batches:
         texts = batch.column(1)
         out: list[list] = [[], [], []]
@@ -146,10 +147,10 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
         yield pa.record_batch([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def encoded_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (doc_id, text)."""
+def encoded_digests(docs: DataFrame, path: str | None = None, pieces: int = CACHED) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (doc_id, text). A worker keeps ``pieces`` pieces of texts, some 330 bytes each."""
     path = path or public_tokenizers.path(VOCABULARY)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: _rows(b, path), RESULT)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(thrifty(lambda b: _rows(b, path, pieces)), RESULT)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 import regex
 
-#: Distinct pieces kept by one worker, unless its ``cached`` is set; beyond, the cache starts anew.
+#: Distinct pieces kept by one worker, unless its ``cached`` is set. Half of them are the newer: when these are full, they become the older, whose
+#: pieces stay if they come up again.
 CACHED = 600_000
 
 #: Below this character, Python's letters and the pattern's are the same in every version of Unicode.
@@ -29,6 +30,7 @@ class Pieces(dict):
         super().__init__()
         self.find, self.encode, self.join = regex.compile(pattern).findall, encode, join
         self.spaces: dict[str, object] = {}
+        self.older: dict[str, object] = {}
         self.cached = CACHED
 
     def value(self, match: str) -> object:
@@ -36,12 +38,18 @@ class Pieces(dict):
         cache = self.spaces if match.isspace() else self
         found = cache.get(match)
         if found is None:
-            found = self.encode(match)
+            found = self.older.get(match)
+            if found is None:
+                found = self.encode(match)
             if len(match) <= 64:
                 cache[match] = found
         return found
 
     def __missing__(self, piece: str) -> object:
+        found = self.older.get(piece)
+        if found is not None:
+            self[piece] = found
+            return found
         start = piece[0] == " "
         if start and piece[1:2].isspace() or piece == " ":
             raise Irregular
@@ -58,7 +66,8 @@ class Pieces(dict):
 
     def values_of(self, text: str) -> list:
         """Values whose join is the text's."""
-        if len(self) >= self.cached:
+        if len(self) >= self.cached // 2:
+            self.older = dict(self)
             self.clear()
         if not text:
             return []
