@@ -121,7 +121,7 @@ def fit_volatility(panel: DataFrame, scored: DataFrame, cfg: BaselineConfig) ->
     g = fits.gram(ok, ["fppg"], "fp_sd", "gp")
     a, b = (float(v) for v in g.solve()) if g.n >= 5 else (8.0, 0.0)
     keep = panel.where((F.col("gp") >= cfg.vol_quantile_min_games) & (F.col("fp_sd") > 0)).select("player_id", "s", "fppg", "fp_sd")
-    z = scored.join(keep, ["player_id", "s"]).select(((F.col("fp") - F.col("fppg")) / F.col("fp_sd")).alias("z"))
+    z = cut_lineage(scored.join(keep, ["player_id", "s"]).select(((F.col("fp") - F.col("fppg")) / F.col("fp_sd")).alias("z")))      # read by every pass of the quantiles
     lo, mid, hi = cfg.quantiles
     q = exact_quantiles(z, [], "z", {"a": lo, "b": mid, "c": hi}).first()
     return VolatilityPrior(a, b, tuple(float(v) for v in q) if q is not None and q[0] is not None else (-1.28155, 0.0, 1.28155))
@@ -173,12 +173,11 @@ class BaselineProjector:
         history.assert_no_future()
         cfg, n = self.config, self.config.n_lags
         logs = history["game_logs"]
-        panel = build_panel(logs, history["team_games"], history["players"], history["player_season_bio"], self.scoring)
+        panel = cut_lineage(build_panel(logs, history["team_games"], history["players"], history["player_season_bio"], self.scoring))      # one row per entity and season, read by every fit
         scored = logs.select("player_id", season_year_fast(F.col("season")).alias("s"), weighted_score(logs, self.scoring, columns=STAT_COLUMNS).alias("fp"))
         vol = fit_volatility(panel, scored, cfg)
         valid = (F.col("gp") >= cfg.vol_min_games) & F.col("fp_sd").isNotNull()
         panel = panel.withColumn("gpz", F.when(valid, F.col("gp")).otherwise(0).cast("double")).withColumn("z_gp", F.when(valid, F.col("fp_sd") / vol.sd(F.col("fppg")) * F.col("gp")).otherwise(0.0))
-        panel = cut_lineage(panel)                                                         # one row per entity and season, read by every fit
         train = cut_lineage(lag_frame(panel, panel, (*RATES, MINUTES, VOLATILITY), n))
         first = fit_quantities(panel, train, (MINUTES, VOLATILITY), cfg)
         minutes, volatility = first["mpg"], first["vol"]
@@ -254,6 +253,7 @@ class BaselineProjector:
     def _calibrated(self, m: Fitted, back: DataFrame, scored: DataFrame, *, min_games: int = 500) -> tuple[float, float, float]:
         """Quantiles of (event score - projection) / projected deviation over the history's own events."""
         u = scored.join(back.select("player_id", "s", "proj_fppg", "proj_fppg_sd"), ["player_id", "s"]).select(((F.col("fp") - F.col("proj_fppg")) / F.col("proj_fppg_sd")).alias("u"))
+        u = cut_lineage(u)                                                                 # read by every pass of the quantiles
         if u.count() < min_games:
             return m.vol_prior.q
         a, b, c = m.config.quantiles
@@ -299,7 +299,7 @@ class BaselineProjector:
         newest = m.panel.agg(F.max("s")).scalar()
         active = m.panel.where(F.col("s") > newest - cfg.active_seasons).select("player_id", "pos_group").distinct().withColumn("s", F.lit(m.target))
         rows = ages_at(active, history["players"], history["player_season_bio"])
-        frame = lag_frame(rows, m.panel, (*RATES, MINUTES, VOLATILITY), cfg.n_lags)
+        frame = cut_lineage(lag_frame(rows, m.panel, (*RATES, MINUTES, VOLATILITY), cfg.n_lags))       # read for minutes, rates and availability
         d = self._components(m, history, frame).unionByName(self._newcomers(m, history))
         names = history["players"].select("player_id", "player_name").dropDuplicates(["player_id"])
         d = d.join(names, "player_id", "left").withColumn("player_name", F.coalesce("player_name", F.col("player_id").cast("string")))

@@ -1,16 +1,21 @@
 """Decayed, age-shifted and shrunk rates: one set of grouped passes fits every quantity at once.
 
-Quantities are stacked as rows (quantity, numerator, denominator and their lags), so age curves, prior regressions and the grid
-over decay and shrinkage are each a single grouped aggregate, whatever the number of quantities.
+Age curves, prior regressions and the grid over decay and shrinkage are each a single grouped pass over one row per entity and
+period, whatever the number of quantities, decays and constants.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyline.operators.fit import KAPPA_HIGH, KAPPA_LOW, KAPPA_POINTS, AgeCurve, gram, grid_losses, log_grid
+from tallyline.operators.fit import KAPPA_HIGH, KAPPA_LOW, KAPPA_POINTS, AgeCurve, gram, grid_losses_of, log_grid
 from tallyline.operators.panel import attach_lags
 from tallyline.operators.ranking import asc, with_running_sum
 from tallyline.session import cut_lineage, spread
@@ -81,64 +86,80 @@ class QuantityFit:
         return F.lit(self.beta[0]) + F.lit(self.beta[1]) * g + F.lit(self.beta[2]) * c + F.lit(self.beta[3] * mpg / 10.0)
 
 
-PARAMS = "q string, decay double, kappa double, curved boolean, c array<double>, lo double, hi double, center double, b array<double>, bound_lo double, bound_hi double"
+# ---- estimates of a batch of rows, worked out in the tasks: a row is never copied for a quantity or a decay
 
+def _numbers(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column's values with 0 for nulls, and which are known."""
+    column = batch.column(name)
+    return column.fill_null(0.0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
-def params_table(spark: SparkSession, fits: dict[str, QuantityFit]) -> DataFrame:
-    """One row per quantity: a dozen rows, so it is broadcast wherever it is joined."""
-    rows = []
-    for name, f in fits.items():
-        c = [*f.curve.coefs, 0.0, 0.0, 0.0][:3]
-        b = [*f.beta, 0.0, 0.0, 0.0][:4]
-        rows.append((name, f.decay, f.kappa, bool(f.q.age and not f.curve.is_flat), [float(x) for x in c], f.curve.lo, f.curve.hi, f.curve.center, [float(x) for x in b], *BOUNDS[f.q.kind]))
-    return F.broadcast(spark.createDataFrame(rows, PARAMS))
 
-
-def _change_to(age: Column) -> Column:
+def _change_to(curve: AgeCurve, age: np.ndarray) -> np.ndarray:
     """Integral of the age curve up to ``age``, continued with constant slope beyond its support."""
-    c = lambda i: F.col("c")[i]           # noqa: E731
-    a = F.least(F.greatest(age, F.col("lo")), F.col("hi"))
-    x = a - F.col("center")
-    area = x * (c(0) + x * (c(1) / 2 + x * c(2) / 3))
-    return area + (c(0) + x * (c(1) + x * c(2))) * (age - a)
+    c = [*curve.coefs, 0.0, 0.0, 0.0][:3]
+    a = np.fmin(np.maximum(age, curve.lo), curve.hi)
+    x = a - curve.center
+    area = x * (c[0] + x * (c[1] / 2 + x * c[2] / 3))
+    return area + (c[0] + x * (c[1] + x * c[2])) * (age - a)
 
 
-def _moved(n_lags: int) -> Column:
-    """Lag numerators shifted to the row's age, nearest first; a missing lag counts nothing."""
-    zero = lambda v: F.coalesce(v, F.lit(0.0))         # noqa: E731
+def _lagged(batch: pa.RecordBatch, f: QuantityFit, n_lags: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Lag numerators shifted to the row's age and lag denominators, nearest first; a missing lag counts nothing."""
+    age, aged = _numbers(batch, "age")
+    dens = [_numbers(batch, f"{f.q.den}_lag{k}")[0] for k in range(1, n_lags + 1)]
+    moved, curved = [], f.q.age and not f.curve.is_flat
+    here = _change_to(f.curve, age) if curved else None
+    for k, den in enumerate(dens, 1):
+        shift = np.where(aged, here - _change_to(f.curve, age - k), 0.0) if curved else 0.0
+        moved.append(_numbers(batch, f"{f.q.num}_lag{k}")[0] + den * shift)
+    return moved, dens
 
-    def one(k: int) -> Column:
-        shift = F.when(F.col("curved") & F.col("age").isNotNull(), _change_to(F.col("age")) - _change_to(F.col("age") - k)).otherwise(0.0)
-        return zero(F.get("nums", F.lit(k - 1))) + zero(F.get("dens", F.lit(k - 1))) * shift
 
-    # lags are few and their number is known, so each is a plain expression: functions over arrays aren't compiled
-    return F.array(*[one(k) for k in range(1, n_lags + 1)])
+def _decayed(values: list[np.ndarray], decay: float) -> np.ndarray:
+    return sum((v * decay ** i for i, v in enumerate(values)), 0.0)
 
 
-def _decayed(values: Column, decay: Column, n_lags: int) -> Column:
-    return sum((F.coalesce(F.get(values, F.lit(i)), F.lit(0.0)) * F.pow(decay, F.lit(float(i))) for i in range(n_lags)), F.lit(0.0))
+def _prior(batch: pa.RecordBatch, f: QuantityFit) -> tuple[np.ndarray, np.ndarray]:
+    """Prior means by position group and minutes, and which are known."""
+    b = [*f.beta, 0.0, 0.0, 0.0][:4]
+    (minutes, known), group = _numbers(batch, "_minutes"), batch.column("pos_group")
+    g, c = (pc.equal(group, x).fill_null(False).to_numpy(zero_copy_only=False).astype(np.float64) for x in "GC")
+    return b[0] + b[1] * g + b[2] * c + b[3] * minutes / 10.0, known & group.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _prior(mpg: Column) -> Column:
-    b = F.col("b")
-    return b[0] + b[1] * (F.col("pos_group") == "G").cast("double") + b[2] * (F.col("pos_group") == "C").cast("double") + b[3] * mpg / 10.0
+def _bounded(f: QuantityFit, v: np.ndarray) -> np.ndarray:
+    low, high = BOUNDS[f.q.kind]
+    return np.fmin(np.maximum(v, low), high)
 
 
-def _bounded(v: Column) -> Column:
-    return F.least(F.greatest(v, F.col("bound_lo")), F.col("bound_hi"))
+def _estimated(frame: DataFrame, quantities: Iterable[Quantity], n_lags: int, minutes: Column, *, target: bool) -> DataFrame:
+    """What the estimates of the quantities read: one row for each of ``frame``'s, with own values only for training rows."""
+    columns = sorted({c for q in quantities for c in (q.num, q.den)})
+    names = [*(columns if target else []), *[f"{c}_lag{k}" for c in columns for k in range(1, n_lags + 1)]]
+    return frame.select("player_id", "s", F.col("age").cast("double").alias("age"), "pos_group", minutes.cast("double").alias("_minutes"), *[F.col(c).cast("double").alias(c) for c in names])
 
 
 def predict_quantities(frame: DataFrame, fits: dict[str, QuantityFit], n_lags: int, *, mpg: str | None = None) -> DataFrame:
     """(player_id, s, <quantity>..., <quantity>_n...): shrunk, bounded estimates and their exposure, all quantities in one grouped pass."""
-    quantities = tuple(f.q for f in fits.values())
-    long = stacked(frame, quantities, n_lags, [mpg] if mpg else [], target=False).join(params_table(frame.sparkSession, fits), "q")
-    minutes = F.col(mpg) if mpg else F.lit(0.0)
-    est = long.select("player_id", "s", "q", "kappa", "bound_lo", "bound_hi", _prior(minutes).alias("prior"), _decayed(_moved(n_lags), F.col("decay"), n_lags).alias("top"), _decayed(F.col("dens"), F.col("decay"), n_lags).alias("n"))
-    est = est.withColumn("est", F.when(F.col("n") > 0, _bounded(F.col("top") / F.col("n"))).otherwise(F.col("prior")))
-    value = _bounded(F.col("prior") + F.coalesce(F.try_divide(F.col("n"), F.col("n") + F.col("kappa")), F.lit(0.0)) * (F.col("est") - F.col("prior")))
-    est = est.select("player_id", "s", "q", "n", value.alias("v"))
-    return est.groupBy("player_id", "s").agg(*[F.max(F.when(F.col("q") == q.name, F.col("v"))).alias(q.name) for q in quantities],
-                                             *[F.max(F.when(F.col("q") == q.name, F.col("n"))).alias(q.name + "_n") for q in quantities])
+    rows = _estimated(frame, [f.q for f in fits.values()], n_lags, F.col(mpg) if mpg else F.lit(0.0), target=False)
+    names = [f.q.name for f in fits.values()]
+    made = T.StructType([*rows.select("player_id", "s").schema, *[T.StructField(c, T.DoubleType()) for name in names for c in (name, name + "_n")]])
+
+    def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(made)
+        for batch in batches:
+            out = [batch.column("player_id"), batch.column("s")]
+            with np.errstate(all="ignore"):
+                for f in fits.values():
+                    prior, known = _prior(batch, f)
+                    top, n = (_decayed(values, f.decay) for values in _lagged(batch, f, n_lags))
+                    est = np.where((n > 0) | np.isnan(n), _bounded(f, top / n), prior)
+                    v = prior + np.where(n + f.kappa == 0, 0.0, n / (n + f.kappa)) * (est - prior)
+                    out += [pa.array(_bounded(f, np.where(known, v, -np.inf))), pa.array(n)]       # without a prior: the least value
+            yield pa.record_batch(out, schema=schema)
+
+    est = rows.mapInArrow(estimates, made)
+    return est.groupBy("player_id", "s").agg(*[F.max(c).alias(c) for c in [*names, *[name + "_n" for name in names]]])
 
 
 def lag_frame(rows: DataFrame, panel: DataFrame, quantities: tuple[Quantity, ...], n_lags: int) -> DataFrame:
@@ -151,28 +172,25 @@ def has_history(n_lags: int) -> Column:
     return F.coalesce(*[F.col(f"gp_lag{k}") for k in range(1, n_lags + 1)]).isNotNull()
 
 
-def stacked(frame: DataFrame, quantities: tuple[Quantity, ...], n_lags: int, extra: list[str], *, target: bool = True) -> DataFrame:
-    """One row per (row, quantity): q, the lag arrays and, for training rows, num and den."""
-    arr = lambda c: F.array(*[F.col(f"{c}_lag{k}").cast("double") for k in range(1, n_lags + 1)])      # noqa: E731
-    own = lambda q: [F.col(q.num).cast("double").alias("num"), F.col(q.den).cast("double").alias("den")] if target else []      # noqa: E731
-    items = [F.struct(F.lit(q.name).alias("q"), *own(q), arr(q.num).alias("nums"), arr(q.den).alias("dens")) for q in quantities]
-    return frame.withColumn("_x", F.explode(F.array(*items))).select("player_id", "s", "age", "pos_group", *extra, "_x.*")
-
-
 def fit_curves(panel: DataFrame, quantities: tuple[Quantity, ...], cfg: BaselineConfig) -> dict[str, AgeCurve]:
     """Age curves of all quantities: moments per quantity in one pass, support quantiles in another."""
     aged = [q for q in quantities if q.age]
     out = {q.name: AgeCurve() for q in quantities}
     if not aged:
         return out
-    items = F.array(*[F.struct(F.lit(q.name).alias("q"), F.col(q.num).cast("double").alias("num"), F.col(q.den).cast("double").alias("den")) for q in aged])
-    base = panel.select("player_id", "s", "age", F.explode(items).alias("_x")).select("player_id", "s", "age", "_x.q", (F.col("_x.num") / F.col("_x.den")).alias("rate"), F.col("_x.den").alias("den")).where(F.col("den") > 0)
-    later = base.select("player_id", "q", (F.col("s") - 1).alias("s"), F.col("rate").alias("rate_next"), F.col("den").alias("den_next"))
-    pairs = base.where(F.col("age").isNotNull()).join(later, ["player_id", "q", "s"]).select(
-        "q", "age", (F.col("rate_next") - F.col("rate")).alias("delta"), (F.col("den") * F.col("den_next") / (F.col("den") + F.col("den_next"))).alias("weight"))
+    columns = sorted({c for q in aged for c in (q.num, q.den)})
+    base = panel.select("player_id", "s", "age", *[F.col(c).cast("double").alias(c) for c in columns])
+    later = base.select("player_id", (F.col("s") - 1).alias("s"), *[F.col(c).alias(c + "_next") for c in columns])
+    pairs = base.where(F.col("age").isNotNull()).join(later, ["player_id", "s"])              # once for all quantities
+    moves, sums = [], []
+    for i, q in enumerate(aged):
+        den, den_next = F.col(q.den), F.col(q.den + "_next")
+        delta, weight = F.try_divide(F.col(q.num + "_next"), den_next) - F.try_divide(F.col(q.num), den), F.try_divide(den * den_next, den + den_next)
+        moves.append(F.when((den > 0) & (den_next > 0) & delta.isNotNull() & (weight > 0), F.struct(weight.alias("w"), (weight * delta).alias("wd"))).alias(f"_{i}"))
+        sums.append(F.struct(F.lit(q.name).alias("q"), F.sum(F.col(f"_{i}.w")).alias("w"), F.sum(F.col(f"_{i}.wd")).alias("wd"), F.count(F.col(f"_{i}.w")).alias("n")))
     # everything the fit needs is a sum per (quantity, age)
-    per_age = cut_lineage(pairs.where(F.col("delta").isNotNull() & (F.col("weight") > 0)).groupBy("q", "age").agg(
-        F.sum("weight").alias("w"), (F.sum(F.col("weight") * F.col("delta")) / F.sum("weight")).alias("delta"), F.count(F.lit(1)).alias("n")))
+    per_age = pairs.select("age", *moves).groupBy("age").agg(F.array(*sums).alias("_x")).select("age", F.inline("_x")).where(F.col("n") > 0)
+    per_age = cut_lineage(per_age.select("q", "age", "w", (F.col("wd") / F.col("w")).alias("delta"), "n"))
     powers = [f"p{i}" for i in range(1, cfg.age_degree + 1)]
     x = per_age.select("q", "delta", "w", *[F.pow(F.col("age") - 27.0, F.lit(float(i))).alias(c) for i, c in enumerate(powers, 1)])
     grams = gram(x, powers, "delta", "w", by="q")
@@ -187,6 +205,20 @@ def fit_curves(panel: DataFrame, quantities: tuple[Quantity, ...], cfg: Baseline
     return out
 
 
+def _tried(fits: dict[str, QuantityFit], decays: dict[str, tuple[float, ...]], n_lags: int) -> Callable[[pa.RecordBatch], Iterator[tuple]]:
+    """Training rows of every quantity and decay, as ``grid_losses_of`` takes them: those with a value of their own, a prior and a history."""
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for name, f in fits.items():
+            (num, a), (den, b), (prior, c) = _numbers(batch, f.q.num), _numbers(batch, f.q.den), _prior(batch, f)
+            moved, dens = _lagged(batch, f, n_lags)
+            for decay in decays[name]:
+                n = _decayed(dens, decay)
+                ok = a & b & c & (den > 0) & (n > 0)
+                if ok.any():
+                    yield (name, decay), _bounded(f, _decayed(moved, decay)[ok] / n[ok]), prior[ok], n[ok], num[ok] / den[ok], den[ok]
+    return groups
+
+
 def fit_quantities(panel: DataFrame, train: DataFrame, quantities: tuple[Quantity, ...], cfg: BaselineConfig, *, mpg: str | None = None) -> dict[str, QuantityFit]:
     """Curve, prior, decay and shrinkage of every quantity. ``train`` is the lag frame of the panel rows; ``mpg`` names the
     minutes the rate priors see while tuning (the predicted ones, as in forecasting)."""
@@ -207,22 +239,18 @@ def fit_quantities(panel: DataFrame, train: DataFrame, quantities: tuple[Quantit
     rows = spread(train.where(has_history(cfg.n_lags)))
     if rows.count() < cfg.min_fit_rows:
         return fits
-    long = stacked(rows, quantities, cfg.n_lags, ["mpg"] + ([mpg] if mpg else [])).where(F.col("den") > 0).join(params_table(panel.sparkSession, fits), "q")
-    decays = F.explode(F.array(*[F.lit(d) for d in cfg.decay_grid])).alias("d")
-    data = long.select("q", (F.col("num") / F.col("den")).alias("y"), F.col("den").alias("w"), _prior(F.col(mpg or "mpg")).alias("prior"), "bound_lo", "bound_hi", _moved(cfg.n_lags).alias("moved"), "dens", decays)
-    data = data.select("q", "y", "w", "prior", F.col("d").alias("decay"), "bound_lo", "bound_hi", _decayed(F.col("moved"), F.col("d"), cfg.n_lags).alias("top"), _decayed(F.col("dens"), F.col("d"), cfg.n_lags).alias("n"))
-    data = data.select("q", "decay", "y", "w", "prior", "n", F.when(F.col("n") > 0, _bounded(F.col("top") / F.col("n"))).alias("est"))
+    data = _estimated(rows, quantities, cfg.n_lags, F.col(mpg or "mpg"), target=True)
     grid = log_grid(KAPPA_LOW, KAPPA_HIGH, KAPPA_POINTS)
-    losses = grid_losses(data, "est", "prior", "n", "y", "w", grid, by=["q", "decay"]).collect()           # quantities x decays x grid points
+    keys = T.StructType([T.StructField("q", T.StringType()), T.StructField("decay", T.DoubleType())])
+    losses = grid_losses_of(data, _tried(fits, {q: cfg.decay_grid for q in fits}, cfg.n_lags), keys, grid).collect()           # quantities x decays x grid points
     best = {}
     for r in sorted(losses, key=lambda r: (r["loss"], r["decay"], r["kappa"])):
         best.setdefault(r["q"], r)
     best = {q: r for q, r in best.items() if r["rows"] >= cfg.min_fit_rows}
     if best:
         fine = {q: log_grid(grid[max(grid.index(r["kappa"]) - 1, 0)], grid[min(grid.index(r["kappa"]) + 1, KAPPA_POINTS - 1)], 41) for q, r in best.items()}
-        chosen = panel.sparkSession.createDataFrame([(q, float(r["decay"])) for q, r in best.items()], "q string, decay double")
-        near = data.join(F.broadcast(chosen), ["q", "decay"])                                                # one row per quantity
-        second = grid_losses(near, "est", "prior", "n", "y", "w", fine, by=["q"])
+        chosen = _tried({q: fits[q] for q in best}, {q: (float(r["decay"]),) for q, r in best.items()}, cfg.n_lags)
+        second = grid_losses_of(data, chosen, keys, fine)
         refined = {r["q"]: r["k"] for r in second.groupBy("q").agg(F.min_by("kappa", F.struct("loss", "kappa")).alias("k")).collect()}
         for q, r in best.items():
             fits[q].decay, fits[q].kappa, fits[q].fitted = float(r["decay"]), float(refined.get(q, r["kappa"])), True
