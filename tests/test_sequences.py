@@ -129,3 +129,39 @@ def test_with_without_in_cells(spark, capsys, monkeypatch):
                 want[o, m] = (n_out, mean(out) - mean(inn))
     assert got.keys() == want.keys() and want
     assert all(got[k][0] == n and got[k][1] == pytest.approx(x, nan_ok=True) for k, (n, x) in want.items())
+
+
+def test_with_without_deals_a_mate_once_for_a_block_of_absent_entities(spark, monkeypatch):
+    """However many entities a step takes, a mate's row goes to one cell for ``HELD_EVENTS`` events of the absent entities; any sizes give the same rows."""
+    import pyarrow as pa
+
+    from tallyline.operators import trends
+
+    rows = [(f"u{e}", 0, 1, f"0|{d}", f"2024-01-{d:02d}", float(e * d % 7)) for e in range(30) for d in range(1, 13) if (e * 5 + d) % 3 or d == 1]
+    rows += [(f"u{e}", 1, 1, f"1|{d}", f"2024-01-{d:02d}", float(e + d)) for e in range(20, 34) for d in range(1, 13) if (e + d) % 2]
+    logs = spark.createDataFrame(rows, "u string, g long, p int, e string, s string, v double").withColumn("d", F.to_date("s"))
+    pairs = lambda: trends.with_without(logs, logs.select("g", "p", "e", "d").distinct(), logs.select("u", "g").distinct(), S.Roles("u", "g", "p", "e", "d"), minutes="v")
+    want = {(r["out_id"], r["mate_id"]): (r["n_out"], r["observed_gain"]) for r in pairs().collect()}
+    assert len(want) > 300 and any(v[1] is not None for v in want.values())
+    for sizes in ({"PAIR_BLOCK": 2}, {"PAIR_BLOCK": 3, "HELD_EVENTS": 40, "CELL_PAIRS": 9}, {"PAIR_BLOCK": 2, "CALENDAR_ROWS": 0}):
+        with monkeypatch.context() as m:
+            for name, value in sizes.items():
+                m.setattr(trends, name, value)
+            out = pairs().collect()
+            got = {(r["out_id"], r["mate_id"]): (r["n_out"], r["observed_gain"]) for r in out}
+            assert len(out) == len(got) and got.keys() == want.keys()
+            assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+
+    def dealt(*_):
+        """A row for each mate's row that comes to a task."""
+        def of(batches):
+            for batch in batches:
+                ids = batch.column("_id").filter(pa.compute.equal(batch.column("_side"), 1))
+                yield pa.record_batch({"out_id": ids, "mate_id": ids, "n_out": pa.array([0] * len(ids), pa.int64()), "observed_gain": pa.array([0.0] * len(ids))})
+        return of
+
+    monkeypatch.setattr(trends, "_gains", dealt)
+    monkeypatch.setattr(trends, "PAIR_BLOCK", 2)
+    # lists of groups: 0 alone, 1 alone, both; a mate meets each list that has an event of its own
+    met = sum(1 for e in range(34) for groups in ({0}, {1}, {0, 1}) if (e < 30 and 0 in groups) or (20 <= e and 1 in groups))
+    assert pairs().count() == met
